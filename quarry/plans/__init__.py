@@ -1,4 +1,4 @@
 """Named queries over the driver tables (one module per operator family)."""
 
-from quarry.plans import corpus, metrics, text, vectors  # noqa: F401
+from quarry.plans import corpus, embeddings, metrics, text, vectors  # noqa: F401
 from quarry.plans.registry import ORACLES, QUERIES  # noqa: F401
