@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.cluster import assign_to_centroids, core_distances, kmeans, lloyd_step, pca
+from quarry.operators.cluster import assign_to_centroids, core_distances, dbscan, kmeans, lloyd_step, pca
 from quarry.operators.vector import mean_vectors_by
 from quarry.plans.metrics import points
 from quarry.plans.registry import register
@@ -70,3 +70,25 @@ def q_core_distance(spark, sf_dir):
     p = points(spark, sf_dir).select("id", F.array("x", "y").alias("xy"))
     c = core_distances(p, id_col="id", vec_col="xy", min_samples=5)
     return c.select("id", F.round("core_distance", 6).alias("core_distance"))
+
+
+DBSCAN_SQL = """
+WITH RECURSIVE pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
+                       FROM embeddings),
+nb AS (SELECT a.id AS i, b.id AS j FROM pts a JOIN pts b
+       ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST({eps} AS DOUBLE) * CAST({eps} AS DOUBLE)),
+core AS (SELECT i FROM nb GROUP BY i HAVING count(*) >= {ms}),
+ce AS (SELECT nb.i, nb.j FROM nb JOIN core ci ON ci.i = nb.i JOIN core cj ON cj.i = nb.j),
+reach(i, r) AS (SELECT i, i FROM core UNION SELECT reach.i, ce.j FROM reach JOIN ce ON ce.i = reach.r),
+comp AS (SELECT i, min(r) AS lab FROM reach GROUP BY i),
+border AS (SELECT nb.i, min(comp.lab) AS lab FROM nb JOIN comp ON comp.i = nb.j
+           WHERE nb.i NOT IN (SELECT i FROM core) GROUP BY nb.i)
+SELECT pts.id, CAST(coalesce(comp.lab, border.lab, -1) AS BIGINT) AS cluster, comp.lab IS NOT NULL AS is_core
+FROM pts LEFT JOIN comp ON comp.i = pts.id LEFT JOIN border ON border.i = pts.id"""
+
+
+@register("dbscan_2d", sql=DBSCAN_SQL.format(eps=0.02, ms=5))
+def q_dbscan_2d(spark, sf_dir):
+    """CLU-3 / JOI-6: DBSCAN (eps 0.02, min_samples 5) on components 1–2."""
+    p = points(spark, sf_dir)
+    return dbscan(p, id_col="id", x="x", y="y", eps=0.02, min_samples=5)
