@@ -92,3 +92,38 @@ def q_dbscan_2d(spark, sf_dir):
     """CLU-3 / JOI-6: DBSCAN (eps 0.02, min_samples 5) on components 1–2."""
     p = points(spark, sf_dir)
     return dbscan(p, id_col="id", x="x", y="y", eps=0.02, min_samples=5)
+
+
+@register("fuzzy_membership")
+def q_fuzzy_membership(spark, sf_dir):
+    """PROJ-1 steps 1–3: symmetric fuzzy kNN graph (15 neighbours, cosine)."""
+    from quarry.operators.project import fuzzy_membership
+    emb = table(spark, sf_dir, "embeddings")
+    edges, _ = fuzzy_membership(emb, id_col="vec_id", vec_col="embedding", n_neighbors=15)
+    return edges
+
+
+@register("umap_2d")
+def q_umap_2d(spark, sf_dir):
+    """PROJ-1: 2-D layout (15 neighbours, min_dist 0.1, PCA init, 20 rounds)."""
+    from quarry.operators.project import umap
+    emb = table(spark, sf_dir, "embeddings")
+    return umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=15, min_dist=0.1, n_epochs=20)
+
+
+@register("clustering_pipeline")
+def q_clustering_pipeline(spark, sf_dir):
+    """PIPE-1 / PROJ-3 / JOI-1 / SNK-5: projection → min-max scaling → DBSCAN →
+    metadata joined by id (1:1) → plot-ready frame with cluster string and noise flag."""
+    from quarry.operators.metrics import minmax_scaled
+    from quarry.operators.project import umap
+    emb = table(spark, sf_dir, "embeddings")
+    u = umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=10, min_dist=0.01, n_epochs=15)
+    s = minmax_scaled(u, ["umap_0", "umap_1"]).select(
+        "vec_id", F.col("umap_0_scaled").alias("x"), F.col("umap_1_scaled").alias("y"))
+    lab = dbscan(s, id_col="vec_id", x="x", y="y", eps=0.05, min_samples=5)
+    meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
+    out = s.join(lab, "vec_id").join(meta, "vec_id", "left")
+    return out.select(F.col("vec_id").alias("ID"), F.col("x").alias("umap_0"), F.col("y").alias("umap_1"),
+                      F.col("cluster").cast("string").alias("cluster"),
+                      (F.col("cluster") == -1).cast("int").alias("noise"), "lang", "source")
