@@ -127,3 +127,12 @@ def q_clustering_pipeline(spark, sf_dir):
     return out.select(F.col("vec_id").alias("ID"), F.col("x").alias("umap_0"), F.col("y").alias("umap_1"),
                       F.col("cluster").cast("string").alias("cluster"),
                       (F.col("cluster") == -1).cast("int").alias("noise"), "lang", "source")
+
+
+@register("mreach_mst_weight")
+def q_mreach_mst_weight(spark, sf_dir):
+    """CLU-2: total weight of the mutual-reachability MST (min_samples 5, 2-D);
+    brute-force Prim in the tests."""
+    from quarry.operators.cluster import mutual_reachability_mst
+    mst = mutual_reachability_mst(points(spark, sf_dir), id_col="id", x="x", y="y", min_samples=5)
+    return mst.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 6).alias("total_weight"))
