@@ -12,6 +12,7 @@ from quarry.operators.cluster import dbscan
 from quarry.operators.search import best_config, best_so_far, param_grid, score_curve
 from quarry.plans.metrics import points, sil_ctes
 from quarry.plans.registry import register
+from quarry.session import table
 
 # The DBSCAN grid (product order, first parameter slowest).
 DBSCAN_GRID = {"eps": [0.015, 0.02, 0.03], "min_samples": [3, 5, 10]}
@@ -110,3 +111,25 @@ def q_score_curve(spark, sf_dir):
     """WIN-5: sorted score curve of the grid."""
     g = grid_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
     return score_curve(g, "score")
+
+
+# The projection grid (product order, first parameter slowest).
+PROJECTION_GRID = {"n_neighbors": [2, 4, 8, 10], "min_dist": [0.001, 0.01, 0.1, 0.5]}
+
+
+@register("projection_grid")
+def q_projection_grid(spark, sf_dir):
+    """PIPE-3 / AGG-9: 16 projection configurations laid out in the same jobs,
+    each scored by joint entropy of its 2-D coordinates; ``is_best`` marks the
+    first configuration with the lowest entropy (strict improvement)."""
+    from quarry.operators.project import umap_grid
+    cfg = param_grid(spark, PROJECTION_GRID)
+    configs = [r.asDict() for r in cfg.orderBy("config_id").collect()]
+    emb = table(spark, sf_dir, "embeddings")
+    proj = umap_grid(emb, configs, id_col="vec_id", vec_col="embedding", n_epochs=15)
+    ent = M.joint_entropy(proj, ["umap_0", "umap_1"], by=["config_id"])
+    scored = cfg.join(ent.select("config_id", "entropy"), "config_id", "left")
+    best = best_config(scored, "entropy", maximize=False).select(F.col("config_id").alias("_best"))
+    return scored.join(best, F.col("config_id") == F.col("_best"), "left") \
+        .select("config_id", "n_neighbors", "min_dist", F.round("entropy", 6).alias("entropy"),
+                F.col("_best").isNotNull().alias("is_best"))
