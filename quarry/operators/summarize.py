@@ -76,15 +76,27 @@ def _pack_fn(group: list[str], order: str, tok: str, limit: int, overhead: int,
     return fold
 
 
+# Largest group (rows of 3 narrow columns) folded in one task; beyond it the
+# distributed block / pointer-doubling algorithm of ``sequence.greedy_windows``.
+FOLD_MAX_ROWS = 1_000_000
+
+
 def pack_windows(df: DataFrame, group: list[str], order: str, tokens_col: str, limit: int,
-                 overhead: int = 0, sep_tokens: int = 0) -> DataFrame:
+                 overhead: int = 0, sep_tokens: int = 0, fold_max_rows: int = FOLD_MAX_ROWS) -> DataFrame:
     """Consecutive documents (by ``order``) packed greedily: a document starts a
     new window iff the window is non-empty and ``overhead + used + sep + t >
     limit``; an oversize document stands alone.  Adds ``window`` (0-based).
 
-    Only ``(group, order, tokens)`` — 3 narrow columns — reach the Python fold;
-    texts stay in the JVM and get the window number back by an equi-join.
+    The largest group is counted first: up to ``fold_max_rows`` rows a group is
+    folded in one task over ``(group, order, tokens)`` only (texts stay in the
+    JVM and get the window number back by an equi-join); a larger group — a
+    hot cluster or language — goes to ``greedy_windows``, which never holds a
+    group in one task.
     """
+    biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if biggest > fold_max_rows:
+        from quarry.operators.sequence import greedy_windows
+        return greedy_windows(df, group, order, tokens_col, limit, overhead, sep_tokens)
     narrow = df.select(*group, order, tokens_col)
     schema = T.StructType([*[df.schema[g] for g in group], df.schema[order],
                            T.StructField("window", T.LongType())])

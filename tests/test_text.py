@@ -101,3 +101,26 @@ def test_extractive_summary_is_shorter_and_deterministic():
     text = " ".join(f"Sentence {i} talks about topic {i % 3}." for i in range(20))
     s = extractive_summary(text)
     assert len(s) < len(text) and s == extractive_summary(text)
+
+
+@pytest.mark.parametrize("limit,overhead,sep", [(12, 0, 0), (20, 3, 1), (9, 0, 2), (40, 5, 0), (6000, 60, 0)])
+def test_distributed_packing_equals_fold(spark, limit, overhead, sep):
+    import numpy as np
+
+    from quarry.operators.sequence import greedy_windows
+    from quarry.operators.summarize import pack_windows
+    rng = np.random.default_rng(limit + overhead + sep)
+    rows = [(int(g), int(i), int(rng.integers(1, 9))) for g in range(3) for i in range(rng.integers(50, 400))]
+    s = spark.createDataFrame(rows, "g int, o long, t long")
+    a = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", limit, overhead, sep).collect()))
+    b = sorted(map(tuple, greedy_windows(s, ["g"], "o", "t", limit, overhead, sep).select("g", "o", "t", "window").collect()))
+    assert a == b
+
+
+def test_pack_windows_dispatches_big_groups(spark):
+    from quarry.operators.summarize import pack_windows
+    rows = [(0, i, 1 + i % 7) for i in range(300)]
+    s = spark.createDataFrame(rows, "g int, o long, t long")
+    a = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0).collect()))
+    b = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0, fold_max_rows=10).collect()))
+    assert a == b
