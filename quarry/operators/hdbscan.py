@@ -203,3 +203,49 @@ def hdbscan(points: DataFrame, *, id_col: str, x: str, y: str, min_cluster_size:
                                       cluster_selection_epsilon)
         return pd.DataFrame({id_col: pts, "cluster": lab.astype(np.int64)})
     return both.groupBy("_g").applyInPandas(fn, f"{id_col} long, cluster long")
+
+
+def hdbscan_grid(points: DataFrame, configs: DataFrame, *, id_col: str, x: str, y: str,
+                 tile_size: int = 2048) -> DataFrame:
+    """PIPE-4: labels of every configuration ``(config_id, min_cluster_size,
+    min_samples, max_cluster_size, cluster_selection_epsilon)`` →
+    ``(config_id, id, cluster)``.  One MST per distinct ``min_samples`` (the only
+    parameter the MST depends on); every configuration's hierarchy is one task
+    over its MST edges (checked bound), all configurations in the same job."""
+    from functools import reduce
+
+    from quarry.operators.cluster import mutual_reachability_mst
+    ms_values = sorted({int(r[0]) for r in configs.select("min_samples").distinct().collect()})
+    msts = []
+    for ms in ms_values:  # a handful of distinct values, each a distributed job
+        m = mutual_reachability_mst(points, id_col=id_col, x=x, y=y, min_samples=ms, tile_size=tile_size)
+        msts.append(m.withColumn("min_samples", F.lit(ms)))
+    edges = reduce(lambda a, b: a.unionByName(b), msts)
+    n_pts = points.count()
+    if n_pts > MAX_MST_EDGES:
+        raise ValueError(f"{n_pts} points exceed the single-task hierarchy bound {MAX_MST_EDGES}")
+    cfg = configs.select("config_id", F.col("min_samples").cast("int").alias("min_samples"),
+                         F.col("min_cluster_size").cast("int").alias("mcs"),
+                         F.col("max_cluster_size").cast("int").alias("maxcs"),
+                         F.col("cluster_selection_epsilon").cast("double").alias("eps"))
+    e = edges.join(cfg, "min_samples").select("config_id", "mcs", "maxcs", "eps",
+                                              F.lit(None).cast("long").alias("id"), "lo", "hi", "weight")
+    ids = points.select(F.col(id_col).cast("long").alias("id"))
+    arr = F.array(*[F.struct(F.lit(r["config_id"]).cast("long").alias("config_id"),
+                             F.lit(r["mcs"]).alias("mcs"), F.lit(r["maxcs"]).cast("int").alias("maxcs"),
+                             F.lit(r["eps"]).alias("eps")) for r in cfg.collect()])
+    p = ids.select("id", F.explode(arr).alias("_c")).select(
+        "_c.config_id", "_c.mcs", "_c.maxcs", "_c.eps", "id", F.lit(None).cast("long").alias("lo"),
+        F.lit(None).cast("long").alias("hi"), F.lit(None).cast("double").alias("weight"))
+    both = p.unionByName(e)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts = pdf[pdf["id"].notna()]["id"].to_numpy(np.int64)
+        ed = pdf[pdf["lo"].notna()]
+        mx = pdf["maxcs"].iloc[0]
+        lab = hdbscan_labels_from_mst(pts, ed["lo"].to_numpy(np.int64), ed["hi"].to_numpy(np.int64),
+                                      ed["weight"].to_numpy(np.float64), int(pdf["mcs"].iloc[0]),
+                                      None if pd.isna(mx) else int(mx), float(pdf["eps"].iloc[0]))
+        return pd.DataFrame({"config_id": int(pdf["config_id"].iloc[0]), id_col: pts,
+                             "cluster": lab.astype(np.int64)})
+    return both.groupBy("config_id").applyInPandas(fn, f"config_id long, {id_col} long, cluster long")
