@@ -150,7 +150,10 @@ def hdbscan_labels_from_mst(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, wei
         for c in chosen:
             x = c
             while cl_birth[x] > th and cl_parent[x] not in (-1, 0):
-                x = cl_parent[x]
+                up = cl_parent[x]
+                if max_cluster_size is not None and cl_size[up] > max_cluster_size:
+                    break  # an oversize cluster is never kept
+                x = up
             moved.add(x)
         chosen = {c for c in moved if not any(_is_anc(a_, c, cl_parent) for a_ in moved if a_ != c)}
     # label each point by its chosen ancestor cluster
