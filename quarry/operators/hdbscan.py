@@ -215,15 +215,9 @@ def hdbscan_grid(points: DataFrame, configs: DataFrame, *, id_col: str, x: str,
     ``(config_id, id, cluster)``.  One MST per distinct ``min_samples`` (the only
     parameter the MST depends on); every configuration's hierarchy is one task
     over its MST edges (checked bound), all configurations in the same job."""
-    from functools import reduce
-
-    from quarry.operators.cluster import mutual_reachability_mst
+    from quarry.operators.cluster import mutual_reachability_msts
     ms_values = sorted({int(r[0]) for r in configs.select("min_samples").distinct().collect()})
-    msts = []
-    for ms in ms_values:  # a handful of distinct values, each a distributed job
-        m = mutual_reachability_mst(points, id_col=id_col, x=x, y=y, min_samples=ms, tile_size=tile_size)
-        msts.append(m.withColumn("min_samples", F.lit(ms)))
-    edges = reduce(lambda a, b: a.unionByName(b), msts)
+    edges = mutual_reachability_msts(points, ms_values, id_col=id_col, x=x, y=y, tile_size=tile_size)
     n_pts = points.count()
     if n_pts > MAX_MST_EDGES:
         raise ValueError(f"{n_pts} points exceed the single-task hierarchy bound {MAX_MST_EDGES}")
