@@ -15,7 +15,7 @@ def test_every_query_has_an_oracle_or_is_known_rows_only():
     assert rows_only <= {"chunk_recursive", "recursive_summary", "map_reduce_summary", "cluster_digest",
                          "embed_corpus", "chunk_vector_table", "ivf_search", "kmeans_labels",
                          "hdbscan_labels", "umap_2d", "clustering_pipeline", "fuzzy_membership",
-                         "mreach_mst_weight", "projection_grid", "benchmark_scores"}
+                         "mreach_mst_weight", "projection_grid", "benchmark_scores", "hdbscan_grid"}
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
