@@ -56,3 +56,13 @@ def period_window(col, period: str | None, as_of, start=None, end=None) -> Colum
 def file_safe_timestamp(ts) -> Column:
     """FN-2: ``YYYY-mm-dd_HH-MM-SS`` (fraction dropped)."""
     return F.date_format(F.col(ts) if isinstance(ts, str) else ts, "yyyy-MM-dd_HH-mm-ss")
+
+
+def parse_timestamp(col) -> Column:
+    """FN-5: ``'2023-11-01 00:00:00+00:00'``-style strings -> TIMESTAMP (NULL if malformed)."""
+    return F.try_to_timestamp(F.col(col) if isinstance(col, str) else col)
+
+
+def timestamp_string(col) -> Column:
+    """FN-5: TIMESTAMP -> ``yyyy-MM-dd HH:mm:ss`` string."""
+    return F.date_format(F.col(col) if isinstance(col, str) else col, "yyyy-MM-dd HH:mm:ss")
