@@ -123,12 +123,19 @@ _SENT = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
 
 
-def extractive_summary(text: str, max_sentences: int = 3) -> str:
+def _cap(text: str, max_words: int) -> str:
+    words = text.split(" ")
+    return text if len(words) <= max_words else " ".join(words[:max_words])
+
+
+def extractive_summary(text: str, max_sentences: int = 3, max_words: int = 250) -> str:
     """Top sentences by summed TF-IDF (IDF over the sentences of this text),
-    returned in their original order.  Deterministic; never longer than the input."""
+    returned in their original order, capped at ``max_words`` words (a
+    generator's output budget, like ``max_new_tokens``).  Deterministic; never
+    longer than the input."""
     sents = [s.strip() for s in _SENT.split(text) if s and s.strip()]
     if len(sents) <= max_sentences:
-        return " ".join(sents)
+        return _cap(" ".join(sents), max_words)
     toks = [[w.lower() for w in _WORD.findall(s)] for s in sents]
     df_ = Counter(w for ts in toks for w in set(ts))
     n = len(sents)
@@ -137,7 +144,7 @@ def extractive_summary(text: str, max_sentences: int = 3) -> str:
         tf = Counter(ts)
         scores.append((-sum(c * math.log(n / df_[w]) for w, c in tf.items()), i))
     keep = sorted(i for _, i in sorted(scores)[:max_sentences])
-    return " ".join(sents[i] for i in keep)
+    return _cap(" ".join(sents[i] for i in keep), max_words)
 
 
 def extractive_generator(template: str | None = None, max_sentences: int = 3):
@@ -238,12 +245,18 @@ def map_reduce_summary(docs: DataFrame, group: list[str], order: str, content_co
                              "prompt", gm, "_s").select(*group, "_o", F.col("_s").alias("_c"))
     cur = cut_lineage(mapped)
     overhead = template_overhead(REDUCE_TEMPLATE, mode)
+    prev: dict = {}
     for level in range(max_levels):
         cur = cur.withColumn("_t", token_count(F.col("_c"), mode))
         tot = cur.groupBy(*group).agg(F.sum("_t").alias("_tok"), F.count("*").alias("_n"))
-        big = tot.where((F.col("_tok") > token_max) & (F.col("_n") > 1)).select(*group)
-        if big.isEmpty():
+        # one row per group (bounded by the number of groups)
+        state = {tuple(r[g] for g in group): (r["_n"], r["_tok"]) for r in tot.collect()}
+        todo_keys = [k for k, (n, tk) in state.items()
+                     if tk > token_max and n > 1 and prev.get(k) != (n, tk)]  # no progress: stop
+        prev = state
+        if not todo_keys:
             break
+        big = cur.sparkSession.createDataFrame(todo_keys, tot.select(*group).schema)
         todo = cur.join(big, group, "left_semi")
         keep = cur.join(big, group, "left_anti").drop("_t")
         packed = pack_windows(todo, group, "_o", "_t", token_max, 0, 0)

@@ -124,3 +124,19 @@ def test_pack_windows_dispatches_big_groups(spark):
     a = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0).collect()))
     b = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0, fold_max_rows=10).collect()))
     assert a == b
+
+
+def test_summaries_terminate_one_row_per_group(spark):
+    from quarry.operators.summarize import map_reduce_summary, prompt_docs, recursive_summary
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs = {r["lang"] for r in d.select("lang").distinct().collect()}
+    mr = map_reduce_summary(d, ["lang"], "doc_id", "text").collect()
+    assert {r["lang"] for r in mr} == langs and all(r["summary"] for r in mr)
+    p = prompt_docs(d, "doc_id", "text", ["doc_id", "lang"])
+    rs = recursive_summary(p, ["lang"], "doc_id", "page_content").collect()
+    assert {r["lang"] for r in rs} == langs and all(r["levels"] <= 20 for r in rs)
+
+
+def test_extractive_output_is_capped():
+    text = "word " * 5000
+    assert len(extractive_summary(text).split(" ")) <= 250
