@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, drop_lineage
 
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -75,23 +75,24 @@ def grid_tile_pairs(points: DataFrame, id_col: str, x: str, y: str, eps, fn, sch
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fn, schema)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64) -> DataFrame:
-    """``(node, component)`` with component = smallest node id of the component."""
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``(node, component)`` with component = smallest node id of the component.
+
+    Nodes may be of any orderable type.  Rounds run until none changes a label;
+    the table of a superseded round is deleted once the next one is written.
+    """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     e = cut_lineage(e)
-    lab = cut_lineage(e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    lab = cut_lineage(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
+                      .select("node", "label", F.lit(True).alias("moved")))
+    while lab.where("moved").limit(1).count():
         nmin = e.join(lab.select(F.col("node").alias("b"), F.col("label").alias("l")), "b") \
             .groupBy("a").agg(F.min("l").alias("m"))
         l2 = lab.join(nmin.withColumnRenamed("a", "node"), "node", "left") \
-            .select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = l2.select(F.col("node").alias("label"), F.col("label").alias("pl"))
-        l3 = l2.join(jump, "label", "left").select("node", F.least("label", F.coalesce("pl", "label")).alias("label"))
-        l3 = cut_lineage(l3)
-        changed = l3.join(lab.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).count()
-        lab = l3
-        if changed == 0:
-            break
-    return lab.withColumnRenamed("label", "component")
+            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        jump = lab.select(F.col("node").alias("label"), F.col("label").alias("pl"))
+        l3 = l2.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label"))
+        lab = cut_lineage(l3.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), replaces=lab)
+    drop_lineage(e)
+    return lab.select("node", F.col("label").alias("component"))

@@ -8,7 +8,9 @@ cluster the caller's session (with its own ``spark.checkpoint.dir``) is used.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,7 @@ TABLES = (
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app_name: str = "quarry") -> SparkSession:
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-    spark = (
+    builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -32,41 +34,61 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared scratch folder: ``spark.checkpoint.dir`` of the session, used as is.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    A session without it gets a folder of its own only in local mode, where the
+    driver and the tasks are one process; on a cluster it is an error, because
+    a machine-local folder would lose rows.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession, kind: str = "lineage") -> str:
+    """A new, unused path in the shared scratch folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-{kind}/{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path through Hadoop's file system (works for any store)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Cut the lineage with a table written to the shared checkpoint folder and
     read back (survives executor loss; the new plan is a plain parquet scan, so
-    iterative loops keep a constant plan size)."""
-    import uuid
+    iterative loops keep a constant plan size).  ``replaces`` is the table of an
+    earlier round that nothing reads any more once this one is written."""
     spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/quarry-lineage/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    if replaces is not None:
+        drop_lineage(replaces)
+    return out
+
+
+def drop_lineage(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut_lineage`` returned."""
+    path = getattr(df, "_quarry_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans import ORACLES, QUERIES
 
 
 def test_entry(spark):
@@ -11,14 +12,14 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle_or_is_known_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"chunk_recursive", "recursive_summary", "map_reduce_summary", "cluster_digest",
                          "embed_corpus", "chunk_vector_table", "ivf_search", "kmeans_labels",
                          "hdbscan_labels", "umap_2d", "clustering_pipeline", "fuzzy_membership",
                          "mreach_mst_weight", "projection_grid", "benchmark_scores", "hdbscan_grid"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs_smoke(spark, name):
-    df = E.queries()[name](spark, "/root/testdata/sf0.001")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
     df.collect()
