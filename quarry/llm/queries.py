@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat
-from quarry.session import table
+from quarry.llm import chat, warc
+from quarry.session import cut_lineage, scratch_path, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,24 @@ def op5_chat_format(spark, sf_dir):
         F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
     return chat.digests(chat.read_back(chat.format_examples(convs.unionByName(probe))))
+
+
+@register("op1_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def op1_warc(spark, sf_dir):
+    html = F.coalesce("html", F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("long").alias("record_id"), "url", "html", F.sha2(html, 256).alias("digest"),
+        F.octet_length(html).cast("long").alias("payload_bytes"))
+    folder = scratch_path(spark, "warc")
+    index = cut_lineage(warc.write_archive(warc.record_roles(pages), folder))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return warc.read_records(index, folder, parts, with_payload=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        "record_type", "refers_to")
