@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, warc
+from quarry.llm import chat, fingerprint, warc
 from quarry.session import cut_lineage, scratch_path, table
 
 QUERIES: dict = {}
@@ -69,3 +69,34 @@ def op1_warc(spark, sf_dir):
     return warc.read_records(index, folder, parts, with_payload=False).select(
         F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         "record_type", "refers_to")
+
+
+@register("op4_fingerprint", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(text, '') AS t0,
+    row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rk FROM documents),
+nx AS (SELECT a.*, b.rk AS nrk, substr(a.text, 1, (a.n - a.n // 3)::BIGINT) || substr(b.text, 1, (a.n // 3)::BIGINT) AS edited
+       FROM d a JOIN d b ON b.rk = CASE WHEN a.rk = (SELECT max(rk) FROM d) THEN 1 ELSE a.rk + 1 END),
+v AS (SELECT rk, 0 AS kind, text AS t FROM nx UNION ALL SELECT rk, 1, edited FROM nx),
+pieces AS (SELECT rk, kind, sha256(p) AS h FROM (
+    SELECT rk, kind, unnest(regexp_extract_all(t, '(?:[^ \t\n\r\f\x0B]+[ \t\r\f\x0B]*){1,8}\n?|[ \t\r\f\x0B]+\n?|\n')) AS p FROM v)),
+words AS (SELECT rk, kind, i, ('0x' || substr(h, (8 * i + 1)::BIGINT, 8))::BIGINT AS w FROM pieces, range(8) r(i)),
+checks AS (SELECT rk, kind, i, sum(w) % 4294967296 AS s FROM words GROUP BY ALL),
+lanes0 AS (SELECT rk, kind, i, k, (2 * sum((w >> k) & 1) - count(*)) AS s
+           FROM (SELECT * FROM words WHERE i < 4), range(32) r2(k) GROUP BY ALL),
+lanes AS (SELECT rk, kind, i * 32 + k AS lane, CASE WHEN ((s % 65536) + 65536) % 65536 >= 32768
+            THEN ((s % 65536) + 65536) % 65536 - 65536 ELSE ((s % 65536) + 65536) % 65536 END::BIGINT AS x FROM lanes0),
+n AS (SELECT v.rk, v.kind, coalesce(c, 0) AS c FROM v LEFT JOIN (SELECT rk, kind, count(*) AS c FROM pieces GROUP BY ALL) USING (rk, kind)),
+fp AS (SELECT n.rk, n.kind, n.c,
+    coalesce(ch.x, repeat('0', 64)) || coalesce(la.x, repeat('0', 512)) AS f, coalesce(la.v, list_value()) AS v, coalesce(la.nn, 0) AS nn
+  FROM n LEFT JOIN (SELECT rk, kind, string_agg(lpad(to_hex(s::BIGINT), 8, '0'), '' ORDER BY i) AS x FROM checks GROUP BY ALL) ch USING (rk, kind)
+  LEFT JOIN (SELECT rk, kind, string_agg(lpad(to_hex(((x + 65536) % 65536)::BIGINT), 4, '0'), '' ORDER BY lane) AS x,
+      list(x ORDER BY lane) AS v, sum(x * x) AS nn FROM lanes GROUP BY ALL) la USING (rk, kind))
+SELECT nx.doc_id, nx.n::BIGINT AS n_chars, sha256(nx.edited) AS edited_sha256, lower(a.f) AS fingerprint, lower(e.f) AS edited_fingerprint,
+  CASE WHEN a.c = e.c AND a.f = e.f THEN 1.0 WHEN a.nn * e.nn = 0 THEN 0.0 ELSE
+    round(least(1.0, greatest(0.0, list_dot_product(a.v::DOUBLE[], e.v::DOUBLE[]) / sqrt(a.nn::DOUBLE * e.nn::DOUBLE))), 6) END::DOUBLE AS near_edited,
+  CASE WHEN a.c = x.c AND a.f = x.f THEN 1.0 WHEN a.nn * x.nn = 0 THEN 0.0 ELSE
+    round(least(1.0, greatest(0.0, list_dot_product(a.v::DOUBLE[], x.v::DOUBLE[]) / sqrt(a.nn::DOUBLE * x.nn::DOUBLE))), 6) END::DOUBLE AS near_next
+FROM nx JOIN fp a ON a.rk = nx.rk AND a.kind = 0 JOIN fp e ON e.rk = nx.rk AND e.kind = 1 JOIN fp x ON x.rk = nx.nrk AND x.kind = 0""")
+def op4_fingerprint(spark, sf_dir):
+    return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
