@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, warc
+from quarry.llm import chat, fingerprint, mixing, warc
 from quarry.session import cut_lineage, scratch_path, table
 
 QUERIES: dict = {}
@@ -100,3 +100,30 @@ SELECT nx.doc_id, nx.n::BIGINT AS n_chars, sha256(nx.edited) AS edited_sha256, l
 FROM nx JOIN fp a ON a.rk = nx.rk AND a.kind = 0 JOIN fp e ON e.rk = nx.rk AND e.kind = 1 JOIN fp x ON x.rk = nx.nrk AND x.kind = 0""")
 def op4_fingerprint(spark, sf_dir):
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op7_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, 3 * z AS cap, row_number() OVER (ORDER BY 3 * z / w, source NULLS LAST) AS k FROM s),
+c AS (SELECT *, (sum(z) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT min(k) AS k0, arg_min(level, k) AS level FROM c WHERE level * w <= cap),
+t AS (SELECT c.source, c.z, CASE WHEN c.k < f.k0 THEN c.cap::DOUBLE ELSE f.level * c.w END AS target FROM c, f),
+q AS (SELECT *, CASE WHEN z > 0 THEN floor(target + 0.5)::BIGINT // z ELSE 0 END AS passes,
+        CASE WHEN z > 0 THEN floor(target + 0.5)::BIGINT % z ELSE 0 END AS rest FROM t),
+g AS (SELECT source, u, sum(size)::BIGINT AS gs FROM d WHERE size > 0 GROUP BY ALL),
+cum AS (SELECT *, sum(gs) OVER (PARTITION BY source ORDER BY u) AS upto FROM g),
+lim AS (SELECT cum.source, min(u) AS lim, arg_min(2 * rest > 2 * upto - gs, u) AS take_at
+        FROM cum JOIN q ON cum.source IS NOT DISTINCT FROM q.source WHERE upto > rest GROUP BY 1)
+SELECT d.doc_id, d.size, q.z AS source_size, q.target,
+  (d.size * (q.passes + CASE WHEN d.u < lim.lim OR (d.u = lim.lim AND take_at) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN lim ON d.source IS NOT DISTINCT FROM lim.source""")
+def op7_mixing(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    sized = cut_lineage(d.select("doc_id", mixing.seeded_hash(F.col("doc_id"), 7).alias("u"),
+                                 mixing.word_count("text").alias("size"), F.array("source").alias("sources")))
+    return mixing.mix(sized, seed=7).drop("sources")
