@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, mixing, warc
+from quarry.llm import chat, fingerprint, mixing, quality, warc
+from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
 QUERIES: dict = {}
@@ -127,3 +128,12 @@ def op7_mixing(spark, sf_dir):
     sized = cut_lineage(d.select("doc_id", mixing.seeded_hash(F.col("doc_id"), 7).alias("u"),
                                  mixing.word_count("text").alias("size"), F.array("source").alias("sources")))
     return mixing.mix(sized, seed=7).drop("sources")
+
+
+@register("op8_quality")
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    score = quality.scorer(model)
+    return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score("text").alias("score")) \
+        .select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
