@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, mixing, quality, warc
+from quarry.llm import chat, fingerprint, mixing, quality, toxicity, warc
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -137,3 +137,12 @@ def op8_quality(spark, sf_dir):
     score = quality.scorer(model)
     return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score("text").alias("score")) \
         .select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    score = toxicity.scorer(model)
+    return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score("text").alias("s")).select(
+        "doc_id", "held_out", "s.score", (F.col("s.score") >= 0.7).cast("int").alias("predicted"), "s.evidence")
