@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, mixing, quality, toxicity, warc
+from quarry.llm import chat, fingerprint, langid, mixing, quality, toxicity, warc
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -146,3 +146,12 @@ def op9_toxicity(spark, sf_dir):
     score = toxicity.scorer(model)
     return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score("text").alias("s")).select(
         "doc_id", "held_out", "s.score", (F.col("s.score") >= 0.7).cast("int").alias("predicted"), "s.evidence")
+
+
+@register("op6_langid")
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    crf = langid.fit(docs, fold("doc_id", 5) != 0)
+    score = langid.scorer(crf)
+    return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score("text").alias("s")) \
+        .select("doc_id", "held_out", "s.lang_pred", "s.score")
