@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, langid, mixing, quality, toxicity, warc
+from quarry.llm import chat, fingerprint, langid, mixing, quality, spm, toxicity, warc
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -155,3 +155,11 @@ def op6_langid(spark, sf_dir):
     score = langid.scorer(crf)
     return docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score("text").alias("s")) \
         .select("doc_id", "held_out", "s.lang_pred", "s.score")
+
+
+SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@register("op2_sentencepiece")
+def op2_sentencepiece(spark, sf_dir):
+    return spm.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), SP_MODEL, ["doc_id"])
