@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, langid, mixing, quality, spm, toxicity, warc
+from quarry.llm import chat, fingerprint, langid, mixing, neardup, quality, spm, toxicity, warc
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -163,3 +163,21 @@ SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @register("op2_sentencepiece")
 def op2_sentencepiece(spark, sf_dir):
     return spm.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), SP_MODEL, ["doc_id"])
+
+
+@register("op3_neardup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, row_number() OVER () AS r, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, m.vec_id) AS component_id,
+  coalesce(m.vec_id = coalesce(c.component_id, m.vec_id), false) AS kept
+FROM embeddings m LEFT JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id""")
+def op3_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
