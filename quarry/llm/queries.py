@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, langid, mixing, neardup, quality, spm, toxicity, warc
+from quarry.llm import chat, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -181,3 +181,21 @@ SELECT m.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component
 FROM embeddings m LEFT JOIN c ON c.node = m.vec_id LEFT JOIN n ON n.a = m.vec_id""")
 def op3_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_jaccard", r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, s FROM (
+  SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, root) AS (SELECT r, r FROM w UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+c AS (SELECT node, min(x.doc_id) AS component_id FROM reach JOIN w x ON x.r = root GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (r) JOIN c ON c.node = w.r""")
+def op10_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
