@@ -146,16 +146,17 @@ def _small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def mix(sized: DataFrame, seed: int = 7, max_repeat: int = 3, cycle: Sequence[float] = CYCLE) -> DataFrame:
-    """``sized``: a stored table of (doc_id, u, size, sources array<string>), u from ``seeded_hash``.
+def _pattern() -> Column:
+    """Key of a membership pattern (the column ``sources``)."""
+    return F.sha2(F.concat_ws("\x01", F.transform("sources", lambda s: F.coalesce(s, F.lit("\x00null")))), 256)
 
-    Returns ``(doc_id, size, sources, source_size, target, taken)``; ``source_size`` and ``target``
-    are those of the document's first source.  Weights follow ``cycle`` over the sources by code
-    point, null last."""
+
+def plan_mix(sized: DataFrame, max_repeat: int = 3, cycle: Sequence[float] = CYCLE) -> DataFrame:
+    """``sized``: a stored table of (u, size, sources array<string>), u from ``seeded_hash``.  One row per
+    membership pattern: ``(pattern, passes, lim, take_at, source_size, target)``; the last two are those
+    of its first source.  Weights follow ``cycle`` over the sources by code point, null last."""
     spark = sized.sparkSession
-    none = "\x00null"                   # inside a pattern key only
-    key = F.concat_ws("\x01", F.transform("sources", lambda s: F.coalesce(s, F.lit(none))))
-    keyed = sized.withColumn("pattern", F.sha2(key, 256))
+    keyed = sized.select("u", "size", "sources", _pattern().alias("pattern"))
     rows = keyed.groupBy("pattern").agg(F.sum("size").alias("size"), F.max("sources").alias("sources")).collect()
     names = sorted({s for r in rows for s in r["sources"]}, key=lambda s: (s is None, s.encode() if s is not None else b""))
     at = {s: i for i, s in enumerate(names)}
@@ -171,8 +172,12 @@ def mix(sized: DataFrame, seed: int = 7, max_repeat: int = 3, cycle: Sequence[fl
              sizes[m[0]] if m else 0, targets[m[0]] if m else 0.0) for r, t, m in zip(rows, taken, members)]
     quotas = spark.createDataFrame(plan, "pattern string, passes long, rest long, source_size long, target double")
     lim = _thresholds(keyed.select("pattern", "u", "size"), quotas.select("pattern", "rest"))
-    quotas = _small(quotas.join(lim, "pattern", "left"))
+    return _small(quotas.join(lim, "pattern", "left").select("pattern", "passes", "lim", "take_at", "source_size", "target"))
+
+
+def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with columns u, size and sources: adds ``source_size``, ``target`` and ``times``."""
     extra = F.coalesce((F.col("u") < F.col("lim")) | ((F.col("u") == F.col("lim")) & F.col("take_at")), F.lit(False))
-    times = F.col("passes") + F.when(extra, 1).otherwise(0)
-    return keyed.join(F.broadcast(quotas), "pattern").select(
-        "doc_id", "size", "sources", "source_size", "target", (F.col("size") * times).alias("taken"))
+    times = F.when(F.col("size") > 0, F.col("passes") + F.when(extra, 1).otherwise(0)).otherwise(0)
+    return rows.withColumn("pattern", _pattern()).join(F.broadcast(plan), "pattern") \
+        .withColumn("times", times).drop("pattern", "passes", "lim", "take_at")

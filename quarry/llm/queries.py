@@ -127,7 +127,8 @@ def op7_mixing(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     sized = cut_lineage(d.select("doc_id", mixing.seeded_hash(F.col("doc_id"), 7).alias("u"),
                                  mixing.word_count("text").alias("size"), F.array("source").alias("sources")))
-    return mixing.mix(sized, seed=7).drop("sources")
+    return mixing.apply_mix(sized, mixing.plan_mix(sized)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 @register("op8_quality")
