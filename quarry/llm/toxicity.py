@@ -3,14 +3,16 @@
 Fitting uses a bounded sample (``MAX_EXAMPLES`` labelled ids of each class):
 
 * vocabulary: terms over-represented in toxic examples by the G statistic
-  (``MIN_G``), at most ``MAX_TERMS``; counted by a Spark aggregation;
+  (``MIN_G``), at most ``MAX_TERMS``; counted by a Spark aggregation in which
+  near copies (the same smallest shingle) are one witness;
 * document frequencies of those terms over all documents, hence IDF;
 * the examples' unit TF-IDF vectors, in blocks of ``BLOCK``; the index keeps
   each term's postings by block and its largest weight in every block.
 
 A text's cosine with a block's examples is at most the sum of its weights times
-the block maxima.  Blocks are visited by descending bound until the bound falls
-below the k-th best cosine found: the k neighbours are exact.  Votes weigh the
+the block maxima.  The blocks of the highest bounds are scored first; their k-th
+best cosine rules out every block with a lower bound, the rest is scored too:
+the k neighbours are exact.  Votes weigh the
 squared cosine and how many labelled rows of its class an example stands for;
 a logistic map fitted on left-one-out votes of the examples turns the vote
 into a calibrated score.  The nearest examples come along as evidence.
@@ -35,9 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.labelled import labelled_sample
+from quarry.llm.shingles import sets
+from quarry.session import cut_lineage, drop_lineage
 
 MAX_EXAMPLES, MAX_TERMS, MIN_G, MIN_DF = 4000, 5000, 20.0, 3
-BLOCK, NEIGHBOURS = 64, 15
+BLOCK, FIRST_BLOCKS, NEIGHBOURS = 64, 4, 15
 _WORD = re.compile(r"[^\W\d_]+")
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
 
@@ -60,29 +64,38 @@ class Index:
                 self.block_max[t, i // block] = max(self.block_max[t, i // block], w)
         self.rows = {t: np.array([i for i, _ in p]) for t, p in lists.items()}
         self.weights = {t: np.array([w for _, w in p]) for t, p in lists.items()}
-        edges = np.arange(self.n_blocks + 1) * block
-        self.start = {t: np.searchsorted(r, edges) for t, r in self.rows.items()}
+
+    def _scores(self, q: dict[int, float], blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the chosen blocks; zero elsewhere."""
+        rows, values = [], []
+        for t, w in q.items():
+            r = self.rows[t]
+            hit = blocks[r // self.block]
+            rows.append(r[hit])
+            values.append(self.weights[t][hit] * w)
+        return np.bincount(np.concatenate(rows), np.concatenate(values), self.n)
 
     def nearest(self, q: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k largest cosines > 0 as (cosine, row), ties by row; ``skip`` leaves one row out."""
+        """The k largest cosines > 0 as (cosine, row), ties by row; ``skip`` leaves one row out.  The blocks
+        of the highest bounds give a k-th best cosine; then every block whose bound reaches it is scored."""
         q = {t: w for t, w in q.items() if t in self.rows}
         if not q:
             return []
         bound = sum(w * self.block_max[t] for t, w in q.items())
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) == k and bound[b] < found[-1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, w in q.items():
-                if self.block_max[t, b] > 0:
-                    a, z = self.start[t][b], self.start[t][b + 1]
-                    scores[self.rows[t][a:z] - b * self.block] += w * self.weights[t][a:z]
-            hit = np.nonzero(scores > 0)[0]
-            found += [(float(scores[i]), int(b * self.block + i)) for i in hit if b * self.block + i != skip]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return found
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        scores = self._scores(q, chosen)
+        if 0 <= skip < self.n:
+            scores[skip] = 0
+        kth = np.partition(scores, -k)[-k] if self.n >= k else 0.0
+        more = (bound >= kth - 1e-9) & (bound > 0)
+        if (more & ~chosen).any():
+            scores = self._scores(q, more)
+            if 0 <= skip < self.n:
+                scores[skip] = 0
+        at = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-12) if self.n >= k else scores > 0)
+        at = at[np.lexsort((at, -scores[at]))][:k]
+        return [(float(scores[i]), int(i)) for i in at]
 
 
 class Model:
@@ -164,21 +177,25 @@ def document_frequency(docs: DataFrame, vocab: dict[str, int]) -> tuple[int, np.
 
 def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_examples: int = MAX_EXAMPLES,
         min_g: float = MIN_G) -> Model:
-    @F.pandas_udf("array<string>")
-    def distinct_terms(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(terms(t))))
+    @F.pandas_udf("struct<family: bigint, tf: map<string, int>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        family = [int(s[:1].view(np.int64)[0]) if s.size else 0 for s in sets(list(texts))]
+        return pd.DataFrame({"family": family, "tf": [dict(Counter(terms(t))) for t in texts]})
 
     sizes = {r["y"]: r["n"] for r in labels.where(keep & F.col(label).isNotNull()).groupBy(F.col(label).alias("y"))
              .agg(F.count("*").alias("n")).collect()}
-    sample = labelled_sample(docs, labels, label, keep, max_examples, per_class=True)
-    per = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = per.get(0, 0), per.get(1, 0)
+    sample = cut_lineage(labelled_sample(docs, labels, label, keep, max_examples, per_class=True)
+                         .select("doc_id", "y", read("text").alias("r")).select("doc_id", "y", "r.*"))
+    per = {r["y"]: r for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.countDistinct("family").alias("f")).collect()}
     total = sizes.get(0, 0) + sizes.get(1, 0)
     rate = (sizes.get(1, 0) + 1) / (total + 2)
-    if not n0 or not n1:
+    if 0 not in per or 1 not in per:
         return Model(rate)
-    seen = sample.select("y", F.explode(distinct_terms("text")).alias("t")).groupBy("t").agg(
-        F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0")).where(f"c0 + c1 >= {MIN_DF}")
+    # copies of one text (the same smallest shingle) are one witness for a term
+    n0, n1 = per[0]["f"], per[1]["f"]
+    seen = sample.select("y", "family", F.explode(F.map_keys("tf")).alias("t")).groupBy("t").agg(
+        F.countDistinct(F.when(F.col("y") == 1, F.col("family"))).alias("c1"),
+        F.countDistinct(F.when(F.col("y") == 0, F.col("family"))).alias("c0")).where(f"c0 + c1 >= {MIN_DF}")
     e1, e0 = (F.col("c1") + F.col("c0")) * n1 / (n0 + n1), (F.col("c1") + F.col("c0")) * n0 / (n0 + n1)
 
     def part(seen_n, expected):
@@ -191,18 +208,20 @@ def fit(docs: DataFrame, labels: DataFrame, keep, label: str = "toxic", max_exam
     idf = np.log((1 + n) / (1 + df)) + 1
 
     @F.pandas_udf("map<string, int>")
-    def vocab_counts(texts: pd.Series) -> pd.Series:
-        return pd.Series([{w: c for w, c in Counter(terms(t)).items() if w in vocab} for t in texts])
-
-    rows = sample.select("doc_id", "y", vocab_counts("text").alias("tf")).orderBy("doc_id").collect()
-    weight = (sizes.get(0, 0) / n0, sizes.get(1, 0) / n1)
-    plain = [r["y"] for r in rows if not r["tf"]]
+    def in_vocab(tf: pd.Series) -> pd.Series:
+        return pd.Series([{t: c for t, c in dict(m).items() if t in vocab} for m in tf])
+
+    rows = [(r["doc_id"], r["y"], r["tf"]) for r in sample.select("doc_id", "y", in_vocab("tf").alias("tf"))
+            .orderBy("doc_id").collect()]
+    drop_lineage(sample)
+    weight = (sizes.get(0, 0) / per[0]["n"], sizes.get(1, 0) / per[1]["n"])
+    plain = [y for _, y, tf in rows if not tf]
     w1, w0 = weight[1] * sum(plain), weight[0] * (len(plain) - sum(plain))
     base = (w1 + rate) / (w1 + w0 + 1)
-    used = [r for r in rows if r["tf"]]
+    used = [r for r in rows if r[2]]
     shell = Model(base, vocab, idf)
-    return Model(base, vocab, idf, [r["doc_id"] for r in used], [r["y"] for r in used],
-                 [shell.vector(Counter(r["tf"])) for r in used], weight)
+    return Model(base, vocab, idf, [i for i, _, _ in used], [y for _, y, _ in used],
+                 [shell.vector(Counter(tf)) for _, _, tf in used], weight)
 
 
 def scorer(model: Model):
