@@ -11,8 +11,10 @@ the window is non-empty and ``overhead + used + sep + t > limit``) computed
 exactly without holding a group in one task:
 
 1. ordinals ``i`` and prefix sums ``R_i = Σ_{j≤i} (t_j + sep)`` (group_prefix);
-2. a window spans at most ``B = ⌊(limit - overhead) / c_min⌋ + 1`` documents
-   (``c_min`` = smallest ``t + sep`` ≥ 1), so the successor start
+2. documents without cost (``t + sep = 0``) are represented by the first of their
+   run, so that two neighbours cost at least ``c_min`` (the smallest positive
+   cost) and a window spans fewer than ``B = 2 (⌊(limit - overhead) / c_min⌋ + 1) + 1``
+   of them; so the successor start
    ``next(s) = max(s+1, first u with R_u > limit - overhead + R_s - t_s)`` lies
    in the block of ``s`` or the next one: one bounded (block, next block)
    group per task, numpy ``searchsorted``;
@@ -35,17 +37,19 @@ from quarry.session import cut_lineage
 
 
 def _gkey(group: list[str]):
-    return F.concat_ws("\u0001", *[F.col(g).cast("string") for g in group]) if group else F.lit("")
+    """One string per distinct key tuple; a null differs from every value."""
+    return F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")) for g in group]) \
+        if group else F.lit("")
 
 
-def group_prefix(df: DataFrame, group: list[str], order: str, value: str,
+def group_prefix(df: DataFrame, group: list[str], order: list[str], value: str,
                  num_partitions: int | None = None) -> DataFrame:
     """Adds ``_i`` (0-based ordinal by ``order``) and ``_cum`` (inclusive prefix
     sum of the non-negative ``value``) within each group."""
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumn("_gk", _gkey(group))
-    r = d.repartitionByRange(p, "_gk", order).sortWithinPartitions("_gk", order)
+    d = df.withColumn("_pk", _gkey(group))
+    r = d.repartitionByRange(p, "_pk", *order).sortWithinPartitions("_pk", *order)
     schema = T.StructType([*d.schema.fields, T.StructField("_pid", T.IntegerType()),
                            T.StructField("_li", T.LongType()), T.StructField("_lc", T.LongType())])
 
@@ -56,7 +60,7 @@ def group_prefix(df: DataFrame, group: list[str], order: str, value: str,
         for pdf in batches:
             if pdf.empty:
                 continue
-            k = pdf["_gk"].to_numpy()
+            k = pdf["_pk"].to_numpy()
             v = pdf[value].to_numpy(np.int64)
             run = np.concatenate([[True], k[1:] != k[:-1]]).cumsum()
             li = pdf.groupby(run).cumcount().to_numpy(np.int64)
@@ -67,13 +71,12 @@ def group_prefix(df: DataFrame, group: list[str], order: str, value: str,
                 lc[first] += cum
             last, cnt, cum = k[-1], int(li[-1]) + 1, int(lc[-1])
             yield pdf.assign(_pid=pid, _li=li, _lc=lc)
-    loc = r.mapInPandas(local, schema)
-    loc = cut_lineage(loc)
-    tot = loc.groupBy("_gk", "_pid").agg((F.max("_li") + 1).alias("_n"), F.max("_lc").alias("_s"))
-    w = Window.partitionBy("_gk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_gk", "_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_on"),
+    loc = cut_lineage(r.mapInPandas(local, schema))
+    tot = loc.groupBy("_pk", "_pid").agg((F.max("_li") + 1).alias("_n"), F.max("_lc").alias("_s"))
+    w = Window.partitionBy("_pk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pk", "_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_on"),
                      F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_os"))
-    out = loc.join(off, ["_gk", "_pid"])
+    out = loc.join(off, ["_pk", "_pid"])
     return out.select(*df.columns, (F.col("_li") + F.col("_on")).alias("_i"),
                       (F.col("_lc") + F.col("_os")).alias("_cum"))
 
@@ -126,19 +129,42 @@ def _starts_fn(B: int):
 
 def greedy_windows(df: DataFrame, group: list[str], order: str, tokens_col: str, limit: int,
                    overhead: int = 0, sep_tokens: int = 0) -> DataFrame:
-    """Adds ``window`` (0-based within the group); exact greedy packing rule."""
-    c_min = df.agg(F.min(F.col(tokens_col) + F.lit(sep_tokens))).first()[0]
-    if c_min is None:
-        return df.withColumn("window", F.lit(None).cast("long"))
-    if c_min < 1:
-        raise ValueError("greedy_windows needs t + sep >= 1 for every document (empty documents "
-                         "cannot bound a window); use summarize.pack_windows")
-    B = max(1, (limit - overhead) // int(c_min) + 1)
-    base = df.select(*group, order, F.col(tokens_col).cast("long").alias("_t"))
-    pre = group_prefix(base.withColumn("_c", F.col("_t") + F.lit(sep_tokens)), group, order, "_c")
-    pre = pre.withColumn("_gk", _gkey(group))
+    """Adds ``window`` (0-based within the group); exact greedy packing rule.
+
+    Every row gets one window: rows are keyed by a row number stored with them,
+    so null groups and equal order values neither lose nor multiply rows (equal
+    order values are packed in the order of that number)."""
+    df = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
+    base = df.select(_gkey(group).alias("_gk"), F.col(order).alias("_ord"), "_rid",
+                     F.coalesce(F.col(tokens_col), F.lit(0)).cast("long").alias("_t"))
+    base = base.withColumn("_c", F.col("_t") + F.lit(sep_tokens))
+    if overhead > limit:            # nothing fits beside anything: every document stands alone
+        alone = group_prefix(base, ["_gk"], ["_ord", "_rid"], "_c").select("_rid", F.col("_i").alias("window"))
+        return df.join(alone, "_rid").drop("_rid")
+    c_min = base.where("_c > 0").agg(F.min("_c")).first()[0] or 1
+    # documents without cost share the prefix sum of the one before them and its window, or the window that the
+    # first of them opens: only that first one is packed, so two neighbours cost at least c_min
+    docs = cut_lineage(group_prefix(base, ["_gk"], ["_ord", "_rid"], "_c").drop("_i"))
+    free = docs.where("_c = 0")
+    rep = free.groupBy("_gk", F.col("_cum").alias("_run")).agg(F.min(F.struct("_ord", "_rid")).alias("f"))
+    units = docs.where("_c > 0").select("_gk", "_ord", "_rid", "_t", "_c").unionByName(
+        rep.select("_gk", "f._ord", "f._rid", F.lit(0).cast("long").alias("_t"), F.lit(0).cast("long").alias("_c")))
+    win = cut_lineage(_unit_windows(units, limit, overhead, int(c_min)))
+    first = rep.select("_gk", "_run", F.col("f._rid").alias("_first")).join(
+        win.select(F.col("_rid").alias("_first"), "window"), "_first")
+    of_free = free.select("_gk", "_rid", F.col("_cum").alias("_run")).join(first, ["_gk", "_run"]).select("_rid", "window")
+    of_unit = docs.where("_c > 0").select("_rid").join(win, "_rid").select("_rid", "window")
+    return df.join(of_unit.unionByName(of_free), "_rid").drop("_rid")
+
+
+def _unit_windows(units: DataFrame, limit: int, overhead: int, c_min: int) -> DataFrame:
+    """``(_rid, window)`` of units of which two neighbours cost at least ``c_min``."""
+    B = 2 * (max(0, limit - overhead) // c_min + 1) + 1
+    pre = group_prefix(units, ["_gk"], ["_ord", "_rid"], "_c")
+    pre = pre.select("_gk", "_rid", "_i", "_cum", "_t")
     sizes = pre.groupBy("_gk").agg(F.count("*").alias("_m"))
     pre = cut_lineage(pre.join(sizes, "_gk").withColumn("_b", F.floor(F.col("_i") / B).cast("long")))
+    sizes = cut_lineage(pre.groupBy("_gk").agg(F.count("*").alias("_m")))
     # step 2-3: every row of block b+1 also joins group (gk, b) as look-ahead
     la = pre.select("*", F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_bk")).where(F.col("_bk") >= 0)
     nschema = "_gk string, _i long, _next long, _exit long, _m long"
@@ -166,8 +192,19 @@ def greedy_windows(df: DataFrame, group: list[str], order: str, tokens_col: str,
     st = cut_lineage(blk.groupBy("_gk", "_bk").applyInPandas(
         _starts_fn(B), "_gk string, _bk long, _i long, _lw long"))
     per_block = st.groupBy("_gk", "_bk").agg(F.max("_lw").alias("_nw"))
-    offs = group_prefix(per_block, ["_gk"], "_bk", "_nw").select(
+    offs = group_prefix(per_block, ["_gk"], ["_bk"], "_nw").select(
         "_gk", "_bk", (F.col("_cum") - F.col("_nw")).alias("_wo"))
     win = st.join(offs, ["_gk", "_bk"]).select("_gk", "_i", (F.col("_wo") + F.col("_lw") - 1).alias("window"))
-    keyed = pre.select(*group, order, "_gk", "_i").join(win, ["_gk", "_i"]).select(*group, order, "window")
-    return df.join(keyed, group + [order])
+    return pre.select("_rid", "_gk", "_i").join(win, ["_gk", "_i"]).select("_rid", "window")
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with nulls equal; the key columns come from ``a``."""
+    if not keys:
+        return a.join(b.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one"), how).drop("_one")
+    r = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = a[k].eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return a.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

@@ -16,13 +16,13 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import PARAGRAPH_SEP, fill_template, template_overhead, token_count
+from quarry.operators.sequence import greedy_windows, null_safe_join
 from quarry.session import cut_lineage
 
 # Prompt templates.
@@ -58,51 +58,14 @@ def prompt_docs(df: DataFrame, id_col: str, text_col: str, meta_cols: list[str])
 
 # ---- WIN-7 / SUM-3: greedy packing ------------------------------------------
 
-def _pack_fn(group: list[str], order: str, tok: str, limit: int, overhead: int, sep_tokens: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        t = pdf[tok].to_numpy(np.int64)
-        win = np.empty(len(t), dtype=np.int64)
-        w, used = 0, -1
-        for i, x in enumerate(t):
-            if used >= 0 and overhead + used + sep_tokens + x > limit:
-                w += 1
-                used = -1
-            used = x if used < 0 else used + sep_tokens + x
-            win[i] = w
-        out = pdf[group + [order]].copy()
-        out["window"] = win
-        return out
-    return fold
-
-
-# Largest group (rows of 3 narrow columns) folded in one task; beyond it the
-# distributed block / pointer-doubling algorithm of ``sequence.greedy_windows``.
-FOLD_MAX_ROWS = 1_000_000
-
-
 def pack_windows(df: DataFrame, group: list[str], order: str, tokens_col: str, limit: int,
-                 overhead: int = 0, sep_tokens: int = 0, fold_max_rows: int = FOLD_MAX_ROWS) -> DataFrame:
+                 overhead: int = 0, sep_tokens: int = 0) -> DataFrame:
     """Consecutive documents (by ``order``) packed greedily: a document starts a
     new window iff the window is non-empty and ``overhead + used + sep + t >
     limit``; an oversize document stands alone.  Adds ``window`` (0-based).
-
-    The largest group is counted first: up to ``fold_max_rows`` rows a group is
-    folded in one task over ``(group, order, tokens)`` only (texts stay in the
-    JVM and get the window number back by an equi-join); a larger group — a
-    hot cluster or language — goes to ``greedy_windows``, which never holds a
-    group in one task.
-    """
-    biggest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if biggest > fold_max_rows:
-        from quarry.operators.sequence import greedy_windows
-        return greedy_windows(df, group, order, tokens_col, limit, overhead, sep_tokens)
-    narrow = df.select(*group, order, tokens_col)
-    schema = T.StructType([*[df.schema[g] for g in group], df.schema[order],
-                           T.StructField("window", T.LongType())])
-    w = narrow.groupBy(*group).applyInPandas(
-        _pack_fn(group, order, tokens_col, limit, overhead, sep_tokens), schema)
-    return df.join(w, group + [order])
+    One path for every size: ``sequence.greedy_windows`` never holds a group in
+    one task; null groups are groups, and no row is lost or doubled."""
+    return greedy_windows(df, group, order, tokens_col, limit, overhead, sep_tokens)
 
 
 def window_prompts(docs: DataFrame, group: list[str], order: str, content_col: str,
@@ -123,31 +86,25 @@ _SENT = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\w+")
 
 
-def _cap(text: str, max_words: int) -> str:
-    words = text.split(" ")
-    return text if len(words) <= max_words else " ".join(words[:max_words])
-
-
-def extractive_summary(text: str, max_sentences: int = 3, max_words: int = 250) -> str:
-    """Top sentences by summed TF-IDF (IDF over the sentences of this text),
-    returned in their original order, capped at ``max_words`` words (a
-    generator's output budget, like ``max_new_tokens``).  Deterministic; never
-    longer than the input."""
+def extractive_summary(text: str, max_sentences: int = 3, max_words: int | None = None) -> str:
+    """Top sentences by summed TF-IDF (IDF over the sentences of this text), returned in their
+    original order.  ``max_words`` is the caller's output budget (none by default).
+    Deterministic; never longer than the input."""
     sents = [s.strip() for s in _SENT.split(text) if s and s.strip()]
-    if len(sents) <= max_sentences:
-        return _cap(" ".join(sents), max_words)
-    toks = [[w.lower() for w in _WORD.findall(s)] for s in sents]
-    df_ = Counter(w for ts in toks for w in set(ts))
-    n = len(sents)
-    scores = []
-    for i, ts in enumerate(toks):
-        tf = Counter(ts)
-        scores.append((-sum(c * math.log(n / df_[w]) for w, c in tf.items()), i))
-    keep = sorted(i for _, i in sorted(scores)[:max_sentences])
-    return _cap(" ".join(sents[i] for i in keep), max_words)
-
-
-def extractive_generator(template: str | None = None, max_sentences: int = 3):
+    if len(sents) > max_sentences:
+        toks = [[w.lower() for w in _WORD.findall(s)] for s in sents]
+        df_ = Counter(w for ts in toks for w in set(ts))
+        n = len(sents)
+        scores = []
+        for i, ts in enumerate(toks):
+            tf = Counter(ts)
+            scores.append((-sum(c * math.log(n / df_[w]) for w, c in tf.items()), i))
+        sents = [sents[i] for i in sorted(i for _, i in sorted(scores)[:max_sentences])]
+    words = " ".join(sents).split(" ")
+    return " ".join(words if max_words is None else words[:max_words])
+
+
+def extractive_generator(template: str | None = None, max_sentences: int = 3, max_words: int | None = None):
     """Default ``generate``: drops the template's fixed text, then summarises."""
     fixed = [p for p in re.split(r"\{\w+\}", template or "") if p.strip()]
 
@@ -156,7 +113,7 @@ def extractive_generator(template: str | None = None, max_sentences: int = 3):
         for p in prompts:
             for f in fixed:
                 p = p.replace(f, "\n")
-            out.append(extractive_summary(p, max_sentences))
+            out.append(extractive_summary(p, max_sentences, max_words))
         return out
     return gen
 
@@ -178,52 +135,39 @@ def generate_column(df: DataFrame, prompt_col: str, fn=None, out_col: str = "gen
 
 def recursive_summary(docs: DataFrame, group: list[str], order: str, content_col: str,
                       generate=None, template: str = STUFF_TEMPLATE, variable: str = "text",
-                      limit: int = STUFF_LIMIT, mode: str = "regex", max_levels: int = 20) -> DataFrame:
+                      limit: int = STUFF_LIMIT, mode: str = "regex") -> DataFrame:
     """Summarise each group: if all its documents fit one prompt, generate once;
     otherwise pack windows, summarise each window and recurse on the
     summaries.  All groups and windows of a level run in the same jobs;
     finished groups leave the loop; a level that does not reduce a group's
-    document count stops that group (the reference would recurse forever).
-    Returns ``(group…, summary, levels)``."""
+    document count stops that group (the reference would recurse forever), so
+    the loop ends with every group in the result.  Nothing about groups passes
+    through the driver.  Returns ``(group…, summary, levels)``."""
     generate = generate or extractive_generator(template)
     overhead = template_overhead(template, mode)
-    cur = docs.select(*group, F.col(order).cast("long").alias("_o"), F.col(content_col).alias("_c"))
+    cur = docs.select(*group, F.col(order).cast("long").alias("_o"), F.coalesce(content_col, F.lit("")).alias("_c"),
+                      F.lit(None).cast("long").alias("_before"))
     finished: DataFrame | None = None
-    prev_counts = None
-    for level in range(max_levels):
+    level = 0
+    while True:
+        level += 1
         cur = cur.withColumn("_t", token_count(F.col("_c"), mode))
-        packed = pack_windows(cur, group, "_o", "_t", limit, overhead, 0)
+        packed = cut_lineage(pack_windows(cur, group, "_o", "_t", limit, overhead, 0))
         prompts = window_prompts(packed, group, "_o", "_c", template, variable, window_col="window")
-        stats = packed.groupBy(*group).agg(F.countDistinct("window").alias("_nw"), F.count("*").alias("_nd"),
-                                           F.sum("_t").alias("_tok"))
-        prompts = prompts.join(stats, group)
-        gen = generate_column(prompts, "prompt", generate, "_s")
-        gen = cut_lineage(gen)
-        fits = (F.col("_nw") == 1) & (F.col("_tok") + overhead <= limit)
-        counts = {tuple(r[g] for g in group): r["_nd"] for r in
-                  gen.select(*group, "_nd").distinct().collect()}
-        stuck = [k for k, v in counts.items() if prev_counts is not None and prev_counts.get(k) == v]
-        done_cond = fits | (F.col("_nw") == 1)
-        if stuck:
-            stuck_cond = F.lit(False)
-            for k in stuck:
-                c = F.lit(True)
-                for g, v in zip(group, k):
-                    c = c & (F.col(g) == F.lit(v))
-                stuck_cond = stuck_cond | c
-            done_cond = done_cond | stuck_cond
-        # a group with a single window is finished once that window is summarised
-        done = gen.where(done_cond).groupBy(*group).agg(
+        stats = packed.groupBy(*group).agg((F.max("window") + 1).alias("_nw"), F.count("*").alias("_nd"),
+                                           F.max("_before").alias("_before"))
+        gen = cut_lineage(generate_column(null_safe_join(prompts, stats, group), "prompt", generate, "_s"))
+        # one window: its summary is the answer; as many documents as a level before: no progress
+        over = (F.col("_nw") == 1) | F.coalesce(F.col("_nd") >= F.col("_before"), F.lit(False))
+        done = gen.where(over).groupBy(*group).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "_s"))),
-                                     lambda s: s["_s"]), PARAGRAPH_SEP).alias("summary"))
-        done = done.withColumn("levels", F.lit(level + 1))
+                                     lambda s: s["_s"]), PARAGRAPH_SEP).alias("summary")) \
+            .withColumn("levels", F.lit(level))
         finished = done if finished is None else finished.unionByName(done)
-        nxt = gen.where(~done_cond).select(*group, F.col("window").alias("_o"), F.col("_s").alias("_c"))
-        prev_counts = counts
-        if nxt.isEmpty():
-            break
-        cur = nxt
-    return finished
+        cur = gen.where(~over).select(*group, F.col("window").cast("long").alias("_o"), F.col("_s").alias("_c"),
+                                      F.col("_nd").alias("_before"))
+        if cur.isEmpty():
+            return finished
 
 
 # ---- SUM-5: map-reduce summarisation ----------------------------------------
@@ -231,39 +175,40 @@ def recursive_summary(docs: DataFrame, group: list[str], order: str, content_col
 def map_reduce_summary(docs: DataFrame, group: list[str], order: str, content_col: str,
                        generate_map=None, generate_reduce=None, chunk_tokens: int = 1000,
                        token_max: int = REDUCE_TOKEN_MAX, mode: str = "regex",
-                       max_levels: int = 20) -> DataFrame:
+                       map_template: str = MAP_TEMPLATE, map_variable: str = "docs",
+                       reduce_template: str = REDUCE_TEMPLATE, reduce_variable: str = "doc_summaries") -> DataFrame:
     """Chunk every document (TXT-2), summarise each chunk with the map prompt,
     collapse summaries in packed groups of at most ``token_max`` tokens with
-    the reduce prompt until a group's summaries fit, then reduce once more."""
+    the reduce prompt until a group's summaries fit (or no longer shrink), then
+    reduce once more.  Groups are compared with their state of the level before
+    inside Spark; nothing about them passes through the driver."""
     from quarry.operators.chunking import token_chunks
-    gm = generate_map or extractive_generator(MAP_TEMPLATE)
-    gr = generate_reduce or extractive_generator(REDUCE_TEMPLATE)
+    gm = generate_map or extractive_generator(map_template)
+    gr = generate_reduce or extractive_generator(reduce_template)
     ch = docs.select(*group, F.col(order).alias("_doc"),
-                     F.posexplode(token_chunks(F.col(content_col), chunk_tokens, mode=mode)).alias("_i", "_c"))
-    ch = ch.select(*group, (F.col("_doc").cast("long") * F.lit(1 << 20) + F.col("_i")).alias("_o"), "_c")
-    mapped = generate_column(ch.withColumn("prompt", fill_template(MAP_TEMPLATE, docs=F.col("_c"))),
-                             "prompt", gm, "_s").select(*group, "_o", F.col("_s").alias("_c"))
-    cur = cut_lineage(mapped)
-    overhead = template_overhead(REDUCE_TEMPLATE, mode)
-    prev: dict = {}
-    for level in range(max_levels):
+                     F.posexplode_outer(token_chunks(F.col(content_col), chunk_tokens, mode=mode)).alias("_i", "_c"))
+    ch = ch.select(*group, (F.col("_doc").cast("long") * F.lit(1 << 20) + F.coalesce("_i", F.lit(0))).alias("_o"),
+                   F.coalesce("_c", F.lit("")).alias("_c"))
+    none = F.lit(None).cast("long")
+    cur = cut_lineage(generate_column(ch.withColumn("prompt", fill_template(map_template, **{map_variable: F.col("_c")})),
+                                      "prompt", gm, "_s").select(*group, "_o", F.col("_s").alias("_c"),
+                                                                 none.alias("_pn"), none.alias("_pt")))
+    while True:
         cur = cur.withColumn("_t", token_count(F.col("_c"), mode))
-        tot = cur.groupBy(*group).agg(F.sum("_t").alias("_tok"), F.count("*").alias("_n"))
-        # one row per group (bounded by the number of groups)
-        state = {tuple(r[g] for g in group): (r["_n"], r["_tok"]) for r in tot.collect()}
-        todo_keys = [k for k, (n, tk) in state.items()
-                     if tk > token_max and n > 1 and prev.get(k) != (n, tk)]  # no progress: stop
-        prev = state
-        if not todo_keys:
+        state = cur.groupBy(*group).agg(F.sum("_t").alias("_tok"), F.count("*").alias("_n"),
+                                        F.max("_pn").alias("_bn"), F.max("_pt").alias("_bt"))
+        moved = ~(F.col("_n").eqNullSafe(F.col("_bn")) & F.col("_tok").eqNullSafe(F.col("_bt")))
+        state = state.withColumn("_todo", (F.col("_tok") > token_max) & (F.col("_n") > 1) & moved)
+        cur = cut_lineage(null_safe_join(cur.drop("_pn", "_pt"), state.select(*group, "_todo", "_n", "_tok"), group))
+        todo = cur.where("_todo")
+        if todo.isEmpty():
             break
-        big = cur.sparkSession.createDataFrame(todo_keys, tot.select(*group).schema)
-        todo = cur.join(big, group, "left_semi")
-        keep = cur.join(big, group, "left_anti").drop("_t")
-        packed = pack_windows(todo, group, "_o", "_t", token_max, 0, 0)
-        prompts = window_prompts(packed, group, "_o", "_c", REDUCE_TEMPLATE, "doc_summaries")
-        coll = generate_column(prompts, "prompt", gr, "_s").select(
-            *group, F.col("window").alias("_o"), F.col("_s").alias("_c"))
+        packed = pack_windows(todo.drop("_todo"), group, "_o", "_t", token_max, 0, 0)
+        before = packed.groupBy(*group).agg(F.max("_n").alias("_pn"), F.max("_tok").alias("_pt"))
+        prompts = window_prompts(packed, group, "_o", "_c", reduce_template, reduce_variable)
+        coll = generate_column(null_safe_join(prompts, before, group), "prompt", gr, "_s").select(
+            *group, F.col("window").cast("long").alias("_o"), F.col("_s").alias("_c"), "_pn", "_pt")
+        keep = cur.where("NOT _todo").select(*group, "_o", "_c", F.col("_n").alias("_pn"), F.col("_tok").alias("_pt"))
         cur = cut_lineage(keep.unionByName(coll))
-    final = window_prompts(cur.withColumn("window", F.lit(0)), group, "_o", "_c",
-                           REDUCE_TEMPLATE, "doc_summaries")
+    final = window_prompts(cur.withColumn("window", F.lit(0)), group, "_o", "_c", reduce_template, reduce_variable)
     return generate_column(final, "prompt", gr, "summary").select(*group, "n_docs", "summary")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions.dates import parse_period
 from quarry.functions.text import fill_template
 from quarry.operators.chunking import recursive_split, window_chunks
-from quarry.operators.summarize import _pack_fn, extractive_summary
+from quarry.operators.summarize import extractive_summary
 
 
 def test_window_chunk_counts(spark):
@@ -19,45 +19,6 @@ def test_window_chunk_counts(spark):
     assert got == {0: 0, 1: 1, 600: 1, 601: 2}
 
 
-def _pack_py(tokens, limit, overhead=0, sep=0):
-    import pandas as pd
-    pdf = pd.DataFrame({"g": 0, "o": range(len(tokens)), "t": tokens})
-    return list(_pack_fn(["g"], "o", "t", limit, overhead, sep)(pdf)["window"])
-
-
-def _two_pointer(tokens, limit, overhead=0, sep=0):
-    """The reference loop (j1, j2) with prompt_length = overhead + Σ t + sep·(n-1)."""
-    def plen(a, b):
-        return overhead + sum(tokens[a:b]) + sep * (b - a - 1)
-    if plen(0, len(tokens)) <= limit:
-        return [0] * len(tokens)
-    wins, j1, j2 = [], 0, 1
-    while j1 < len(tokens) and j2 < len(tokens):
-        if plen(j1, j2 + 1) > limit:
-            wins.append((j1, j2))
-            j1, j2 = j2, j2 + 1
-        else:
-            j2 += 1
-    if j2 >= len(tokens):
-        wins.append((j1, len(tokens)))
-    out = [0] * len(tokens)
-    for w, (a, b) in enumerate(wins):
-        for i in range(a, b):
-            out[i] = w
-    return out
-
-
-def test_packing_hand_case():
-    assert _pack_py([3000, 2000, 2000, 7000, 100, 100], 6000) == [0, 0, 1, 2, 3, 3]
-
-
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(min_value=1, max_value=3000), min_size=1, max_size=40),
-       st.integers(min_value=0, max_value=500), st.integers(min_value=0, max_value=5))
-def test_packing_equals_reference_loop(tokens, overhead, sep):
-    assert _pack_py(tokens, 6000, overhead, sep) == _two_pointer(tokens, 6000, overhead, sep)
-
-
 def _check_chunks(text, chunks):
     assert all(0 < len(c) <= 600 for c in chunks)
     if len(text.strip()) <= 600 and text.strip():
@@ -103,27 +64,53 @@ def test_extractive_summary_is_shorter_and_deterministic():
     assert len(s) < len(text) and s == extractive_summary(text)
 
 
-@pytest.mark.parametrize("limit,overhead,sep", [(12, 0, 0), (20, 3, 1), (9, 0, 2), (40, 5, 0), (6000, 60, 0)])
-def test_distributed_packing_equals_fold(spark, limit, overhead, sep):
+def _check_greedy(rows, limit, overhead, sep):
+    """Windows are runs of the order; each fits or is one document; the next document would not have fitted."""
+    groups = {}
+    for g, o, t, w in sorted(rows, key=lambda r: (str(r[0]), r[1], r[3])):
+        groups.setdefault(g, {}).setdefault(w, []).append(t)
+    for wins in groups.values():
+        assert sorted(wins) == list(range(len(wins)))
+        size = lambda ts: overhead + sum(ts) + sep * (len(ts) - 1)
+        for w, ts in wins.items():
+            assert len(ts) == 1 or size(ts) <= limit
+            if w + 1 in wins:
+                assert size(ts + wins[w + 1][:1]) > limit
+
+
+@pytest.mark.parametrize("limit,overhead,sep,least", [(12, 0, 0, 1), (20, 3, 1, 0), (9, 0, 2, 1), (25, 2, 0, 0), (5, 9, 0, 0)])
+def test_packing_is_greedy(spark, limit, overhead, sep, least):
     import numpy as np
 
-    from quarry.operators.sequence import greedy_windows
     from quarry.operators.summarize import pack_windows
     rng = np.random.default_rng(limit + overhead + sep)
-    rows = [(int(g), int(i), int(rng.integers(1, 9))) for g in range(3) for i in range(rng.integers(50, 400))]
+    rows = [(int(g) if g else None, int(i), int(rng.integers(least, 9)) if rng.random() < 0.9 else 40)
+            for g in range(3) for i in range(rng.integers(50, 200))]
     s = spark.createDataFrame(rows, "g int, o long, t long")
-    a = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", limit, overhead, sep).collect()))
-    b = sorted(map(tuple, greedy_windows(s, ["g"], "o", "t", limit, overhead, sep).select("g", "o", "t", "window").collect()))
-    assert a == b
+    got = [tuple(r) for r in pack_windows(s, ["g"], "o", "t", limit, overhead, sep).select("g", "o", "t", "window").collect()]
+    assert sorted((str(g), o, t) for g, o, t, _ in got) == sorted((str(g), o, t) for g, o, t in rows)
+    _check_greedy(got, limit, overhead, sep)
 
 
-def test_pack_windows_dispatches_big_groups(spark):
+def test_packing_hand_cases(spark):
     from quarry.operators.summarize import pack_windows
-    rows = [(0, i, 1 + i % 7) for i in range(300)]
-    s = spark.createDataFrame(rows, "g int, o long, t long")
-    a = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0).collect()))
-    b = sorted(map(tuple, pack_windows(s, ["g"], "o", "t", 25, 2, 0, fold_max_rows=10).collect()))
-    assert a == b
+
+    def pack(ts, limit, overhead=0, sep=0):
+        s = spark.createDataFrame([(None, i, t) for i, t in enumerate(ts)], "g int, o long, t long")
+        return [r["window"] for r in pack_windows(s, ["g"], "o", "t", limit, overhead, sep).orderBy("o").collect()]
+    assert pack([3000, 2000, 2000, 7000, 100, 100], 6000) == [0, 0, 1, 2, 3, 3]
+    assert pack([0, 0, 5, 0, 9, 0, 0, 1, 0], 5) == [0, 0, 0, 0, 1, 2, 2, 2, 2]
+    assert pack([0, 0, 0], 5) == [0, 0, 0]
+    assert pack([1, 1], 3, 5) == [0, 1]
+
+
+def test_packing_keeps_null_groups_and_equal_orders(spark):
+    from quarry.operators.summarize import pack_windows
+    rows = [(None, 1, 2), (None, 1, 2), (None, None, 2), ("a", 1, 2), ("a", 1, 2), ("a", 1, 2)]
+    s = spark.createDataFrame(rows, "g string, o long, t long")
+    got = pack_windows(s, ["g"], "o", "t", 4).collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in got))) == sorted(map(str, rows))
+    assert sorted(r["window"] for r in got if r["g"] == "a") == [0, 0, 1]
 
 
 def test_summaries_terminate_one_row_per_group(spark):
@@ -137,6 +124,18 @@ def test_summaries_terminate_one_row_per_group(spark):
     assert {r["lang"] for r in rs} == langs and all(r["levels"] <= 20 for r in rs)
 
 
-def test_extractive_output_is_capped():
+def test_extractive_budget_is_the_callers():
     text = "word " * 5000
-    assert len(extractive_summary(text).split(" ")) <= 250
+    assert len(extractive_summary(text).split(" ")) == 5000
+    assert len(extractive_summary(text, max_words=250).split(" ")) == 250
+
+
+def test_every_group_is_summarised_even_without_progress(spark):
+    from quarry.operators.summarize import map_reduce_summary, recursive_summary
+    rows = [(g, i, "word " * 30) for g in ("a", "b", None) for i in range(6)]
+    d = spark.createDataFrame(rows, "g string, o long, c string")
+    same = lambda prompts: ["word " * 200 for _ in prompts]
+    rs = recursive_summary(d, ["g"], "o", "c", generate=same, limit=60).collect()
+    assert {r["g"] for r in rs} == {"a", "b", None} and len(rs) == 3
+    mr = map_reduce_summary(d, ["g"], "o", "c", generate_map=same, generate_reduce=same, token_max=100).collect()
+    assert {r["g"] for r in mr} == {"a", "b", None} and len(mr) == 3
