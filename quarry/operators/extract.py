@@ -6,8 +6,8 @@ drop comments, scripts, styles, navigation and footers; keep the
 (``<p>``, ``<br>``, headings, list items, ``<div>``) become line breaks;
 remaining tags are stripped; a fixed entity list is unescaped.  The
 corpus-level step drops lines that repeat on at least ``min_pages`` pages of
-the same host (boilerplate), a group-by on (host, line) with partial
-aggregation.
+the same host (boilerplate): lines are extracted once into a written table,
+counted per (host, line hash) with partial sums, and anti-joined.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import urls as U
+from quarry.session import cut_lineage
 
 # Patterns of the extraction job.
 DROP_BLOCKS = [
@@ -76,14 +77,15 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                      html_col: str = "html", min_pages: int | None = 3) -> DataFrame:
     """``(id, url, host, title, paragraphs, full_text)``; ``full_text`` is the
     paragraphs joined by a blank line, NULL when nothing is left."""
-    base = pages.select(id_col, url_col, U.host(F.col(url_col)).alias("host"),
-                        page_title(html_col).alias("title"), paragraphs(html_col).alias("_p"))
+    base = cut_lineage(pages.select(id_col, url_col, U.host(F.col(url_col)).alias("host"),
+                                    page_title(html_col).alias("title"), paragraphs(html_col).alias("_p")))
     if min_pages:
-        lines = base.select(id_col, "host", F.posexplode("_p").alias("pos", "line"))
-        rep = (lines.groupBy("host", "line").agg(F.countDistinct(id_col).alias("_pages"))
-               .where(F.col("_pages") >= min_pages).select("host", "line"))
-        kept = lines.join(rep, ["host", "line"], "left_anti")
-        paras = kept.groupBy(id_col).agg(
+        key = [F.xxhash64(F.lit(1), "line").alias("_h1"), F.xxhash64(F.lit(2), "line").alias("_h2")]
+        # each line once per page, so that a plain count (partial sums) counts pages
+        rep = base.select("host", F.explode(F.array_distinct("_p")).alias("line")).groupBy("host", *key).count() \
+            .where(F.col("count") >= min_pages).drop("count")
+        lines = base.select(id_col, "host", F.posexplode("_p").alias("pos", "line")).select("*", *key)
+        paras = lines.join(rep, ["host", "_h1", "_h2"], "left_anti").groupBy(id_col).agg(
             F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
         base = base.drop("_p").join(
             paras.select(id_col, F.transform("_l", lambda s: s["line"]).alias("_p")), id_col, "left")

@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PARAGRAPH_SEP, fill_template
+from quarry.operators.chunking import chunk
+from quarry.operators.embed import embed_hashed_terms, fit_hashed_terms
+from quarry.operators.extract import extract_articles
 from quarry.operators.summarize import RAG_TEMPLATE, generate_column
 from quarry.operators.vector import similarity_search
+from quarry.session import cut_lineage
+from quarry.sources.sinks import write_vector_table
 
 
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = 4, *, doc_id: str, doc_vec: str,
@@ -46,3 +51,26 @@ def rag_prompts(docs: DataFrame, questions: DataFrame, k: int = 4, *, doc_id: st
 def answer(prompts: DataFrame, generate=None, prompt_col: str = "prompt") -> DataFrame:
     """RAG-1 final step: generator over the prompt column (``answer`` column)."""
     return generate_column(prompts, prompt_col, generate, "answer")
+
+
+def index_texts(docs: DataFrame, id_col: str, text_col: str, *, dim: int = 256, mode: str = "window",
+                vector_scope: str = "chunk") -> DataFrame:
+    """TXT-4: ``(id, <other columns>, text, split_idx, vector)``, one row per chunk.  With
+    ``vector_scope="document"`` every chunk carries the vector of its whole document."""
+    if vector_scope not in ("chunk", "document"):
+        raise ValueError(f"vector_scope is 'chunk' or 'document', not {vector_scope!r}")
+    c = chunk(docs, text_col, id_col, mode=mode).drop(text_col)
+    source, key, text = (c, "chunk_id", "chunk") if vector_scope == "chunk" else (docs, id_col, text_col)
+    vec = embed_hashed_terms(source, key, text, fit_hashed_terms(source, key, text, dim), dim)
+    others = [x for x in docs.columns if x != text_col]
+    return c.join(vec, key).select(F.col("chunk_id").alias("id"), *others, F.col("chunk").alias("text"), "split_idx", "vector")
+
+
+def index_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",
+                html_col: str = "html", dim: int = 256, min_pages: int | None = 3) -> DataFrame:
+    """SRC-11 / VEC-4: extract the articles, cut them in chunks, embed these, write the table partitioned
+    by host and return it as read back.  Pages without text have no entry."""
+    docs = cut_lineage(extract_articles(pages, id_col, url_col, html_col, min_pages).where("full_text IS NOT NULL")
+                       .select(id_col, url_col, "host", "title", "full_text"))
+    write_vector_table(index_texts(docs, id_col, "full_text", dim=dim), path, ["host"])
+    return pages.sparkSession.read.parquet(path)

@@ -9,12 +9,15 @@ from quarry.functions import urls as U
 from quarry.functions.text import regex_token_count, template_overhead
 from quarry.operators import relational as R
 from quarry.operators.chunking import chunk, recursive_chunks, token_chunks, window_chunks
+from quarry.operators.cluster import assign_to_centroids
+from quarry.operators.embed import embed_hashed_terms, fit_hashed_terms
 from quarry.operators.extract import extract_articles, page_links
 from quarry.operators.summarize import (STUFF_LIMIT, STUFF_TEMPLATE, map_reduce_summary, pack_windows,
                                         prompt_docs, recursive_summary, window_prompts)
+from quarry.operators.vector import mean_vectors_by
 from quarry.plans.corpus import SQL_CANON, SQL_HOST, SQL_TOKEN_COUNT, SQL_URI
 from quarry.plans.registry import register
-from quarry.session import table
+from quarry.session import cut_lineage, table
 
 NL2 = "chr(10) || chr(10)"
 
@@ -278,9 +281,20 @@ def q_map_reduce_summary(spark, sf_dir):
 
 @register("cluster_digest")
 def q_cluster_digest(spark, sf_dir):
-    """SUM-6: a summary of every cluster (documents labelled through ``embeddings``; noise excluded)."""
+    """SUM-6: a summary of every cluster of the whole corpus.  Documents join the language centroid of
+    their term vectors that is nearest; those far from all are noise (-1) and left out."""
     p = _docs(spark, sf_dir)
-    lab = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"),
-                                                    F.col("label").cast("string").alias("cluster"))
-    j = p.join(lab, "doc_id").where(F.col("cluster") != "-1")
+    idf = fit_hashed_terms(p, "doc_id", "text", 256)
+    v = cut_lineage(embed_hashed_terms(p, "doc_id", "text", idf, 256).join(p.select("doc_id", "lang"), "doc_id"))
+    a = assign_to_centroids(v, mean_vectors_by(v.where("lang IS NOT NULL"), "lang", "vector"), id_col="doc_id", vec_col="vector",
+                            cid_col="lang")
+    cluster = F.when(F.col("distance") < 1.0, F.col("cluster")).otherwise("-1")
+    j = p.join(a.select("doc_id", cluster.alias("cluster")), "doc_id").where(F.col("cluster") != "-1")
     return recursive_summary(j, ["cluster"], "doc_id", "page_content")
+
+
+@register("single_cluster", sql="""
+SELECT vec_id, label FROM embeddings WHERE label = 3""")
+def q_single_cluster(spark, sf_dir):
+    """FIL-7: the members of one cluster."""
+    return table(spark, sf_dir, "embeddings").where(F.col("label") == 3).select("vec_id", "label")

@@ -13,15 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed value: the time pattern of run folders.
+RUN_PATTERN = "%Y-%m-%d_%H-%M-%S"
+
+
 def run_stamp(now: dt.datetime | None = None) -> str:
     """SNK-4 / FN-2: ``YYYY-mm-dd_HH-MM-SS`` (the caller may pass ``now``)."""
-    return (now or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%d_%H-%M-%S")
+    return (now or dt.datetime.now(dt.timezone.utc)).strftime(RUN_PATTERN)
 
 
-def write_model_csvs(df: DataFrame, path: str, run_ts: str, model_col: str = "model") -> None:
-    """SNK-2: one CSV folder per model (``partitionBy``), header included."""
-    (df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").option("header", True)
-     .partitionBy("run_ts", model_col).csv(path))
+def write_run_csvs(df: DataFrame, path: str, run_ts: str, model_col: str | None = "model") -> None:
+    """SNK-2: CSV folders with header, one per model, or one global table (``model_col=None``).  Writing a
+    run again replaces its folders and leaves other runs alone."""
+    parts = ["run_ts", *([model_col] if model_col else [])]
+    (df.withColumn("run_ts", F.lit(run_ts)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("header", True).partitionBy(*parts).csv(path))
 
 
 def write_vector_table(df: DataFrame, path: str, partition_by: list[str] | None = None,

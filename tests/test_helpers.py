@@ -1,5 +1,6 @@
 """Small helpers: column patterns, timestamps, truncation embedding, in-memory texts, params table."""
 
+import pytest
 import tempfile
 
 import numpy as np
@@ -36,3 +37,61 @@ def test_params_table(spark):
                                 "language": "en", "period": "30d", "override_content": False}, d, "2024-01-01_00-00-00")
     r = spark.read.parquet(d).first()
     assert r["period"] == "30d" and r["sources"] == ["bbc-news"] and r["snapshot_ts"] == "2024-01-01_00-00-00"
+
+
+def test_embedder_registry_and_benchmark_types(spark):
+    from quarry.operators.embed import get_embedder
+    from quarry.operators.pipelines import run_benchmark
+    with pytest.raises(ValueError):
+        get_embedder("no such embedder")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bad = spark.createDataFrame([("m", "hashed_tfidf", "odd", 8, None)], "model string, model_name string, type string, dim int, "
+                                                                         "embed_instruction string")
+    with pytest.raises(ValueError):
+        run_benchmark(docs, bad, id_col="doc_id", text_col="text")
+
+
+def test_hashed_terms_of_questions_use_the_fitted_weights(spark):
+    from quarry.operators.embed import embed_hashed_terms, fit_hashed_terms
+    docs = spark.createDataFrame([(1, "cat dog"), (2, "cat CAT"), (3, None), (4, "--")], "id long, text string")
+    idf = fit_hashed_terms(docs, "id", "text", 64)
+    v = {r["id"]: r["vector"] for r in embed_hashed_terms(docs, "id", "text", idf, 64).collect()}
+    assert sum(v[3]) == sum(v[4]) == 0 and abs(sum(x * x for x in v[1]) - 1) < 1e-6
+    q = spark.createDataFrame([(9, "Cat, dog!")], "id long, text string")
+    assert embed_hashed_terms(q, "id", "text", idf, 64).first()["vector"] == v[1]
+
+
+def test_run_csvs_replace_their_run_only(spark):
+    from quarry.session import scratch_path
+    from quarry.sources.sinks import write_run_csvs
+    path = scratch_path(spark, "csv")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "model string, x int")
+    for run in ("r1", "r2", "r1"):
+        write_run_csvs(df, path, run)
+    got = spark.read.option("header", True).csv(path)
+    assert got.count() == 6 and {r["run_ts"] for r in got.collect()} == {"r1", "r2"}
+    whole = scratch_path(spark, "csv")
+    for _ in range(2):
+        write_run_csvs(df, whole, "r1", None)
+    assert spark.read.option("header", True).csv(whole).count() == 3
+
+
+def test_index_pages_of_known_text(spark):
+    from quarry.operators.rag import index_pages
+    from quarry.session import scratch_path
+    page = "<html><title>T {i}</title><body><nav>menu</nav><article><p>Every page says this.</p><p>Only page {i} &amp; no other." \
+           "</p></article><footer>foot</footer></body></html>"
+    rows = [(i, f"http://h/p{i}", page.replace("{i}", str(i))) for i in range(4)] + [(9, "http://h/9", "<html></html>"), (10, None, None)]
+    t = index_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch_path(spark, "index"), dim=32)
+    assert {(r["id"], r["text"]) for r in t.collect()} == {(f"{i}_split-0", f"Only page {i} & no other.") for i in range(4)}
+    assert t.first()["host"] == "h" and len(t.first()["vector"]) == 32
+
+
+def test_scratch_folder_is_the_sessions(spark):
+    from quarry.session import cut_lineage, drop_lineage, ensure_checkpoint_dir
+    df = cut_lineage(spark.range(3).toDF("x"))
+    assert df._quarry_path.startswith(ensure_checkpoint_dir(spark).rstrip("/")) and df.count() == 3
+    drop_lineage(df)
+    import pytest as pt
+    with pt.raises(Exception):
+        spark.read.parquet(df._quarry_path)
