@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc
+from quarry.llm.batches import arrow_batches
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
 
@@ -65,7 +66,8 @@ def op1_warc(spark, sf_dir):
         F.col("page_id").cast("long").alias("record_id"), "url", "html", F.sha2(html, 256).alias("digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"))
     folder = scratch_path(spark, "warc")
-    index = cut_lineage(warc.write_archive(warc.record_roles(pages), folder))
+    with arrow_batches(spark, 500):
+        index = cut_lineage(warc.write_archive(warc.record_roles(pages), folder))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return warc.read_records(index, folder, parts, with_payload=False).select(
         F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
