@@ -106,10 +106,12 @@ def keyword_search(df: DataFrame, fields: dict[str, Column | str], queries: dict
                 h = h + F.size(F.filter(tcols[f], _in_words(words)))
         hits_by_query[q] = h
     n_tok = sum((F.size(F.filter(tcols[f], lambda x: x != "")) for f in toks), F.lit(0))
-    hit_map = F.create_map(*[e for q in queries for e in (F.lit(q), hits_by_query[q])])
+    hits = F.lit(None).cast("int")                   # only the matched query's hits are counted
+    for q in reversed(list(queries)):
+        hits = F.when(F.col("query_id") == q, hits_by_query[q]).otherwise(hits)
     out = (base.select(id_col, F.explode(matched).alias("query_id"), n_tok.alias("n_tokens"),
                        *[F.col(f"_t_{f}") for f in toks])
-           .withColumn("hits", F.element_at(hit_map, F.col("query_id")))
+           .withColumn("hits", hits)
            .select("query_id", id_col, "hits", "n_tokens",
                    F.when(F.col("n_tokens") > 0, F.col("hits") / F.col("n_tokens")).otherwise(0.0)
                    .alias("score")))

@@ -105,10 +105,10 @@ def q_fuzzy_membership(spark, sf_dir):
 
 @register("umap_2d")
 def q_umap_2d(spark, sf_dir):
-    """PROJ-1: 2-D layout (15 neighbours, min_dist 0.1, PCA init, 20 rounds)."""
+    """PROJ-1: 2-D layout (15 neighbours, min_dist 0.1, PCA init, the operator's default rounds)."""
     from quarry.operators.project import umap
     emb = table(spark, sf_dir, "embeddings")
-    return umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=15, min_dist=0.1, n_epochs=20)
+    return umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=15, min_dist=0.1)
 
 
 @register("clustering_pipeline")
@@ -118,7 +118,7 @@ def q_clustering_pipeline(spark, sf_dir):
     from quarry.operators.metrics import minmax_scaled
     from quarry.operators.project import umap
     emb = table(spark, sf_dir, "embeddings")
-    u = umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=10, min_dist=0.01, n_epochs=15)
+    u = umap(emb, id_col="vec_id", vec_col="embedding", n_neighbors=10, min_dist=0.01)
     s = minmax_scaled(u, ["umap_0", "umap_1"]).select(
         "vec_id", F.col("umap_0_scaled").alias("x"), F.col("umap_1_scaled").alias("y"))
     lab = dbscan(s, id_col="vec_id", x="x", y="y", eps=0.05, min_samples=5)
@@ -129,7 +129,19 @@ def q_clustering_pipeline(spark, sf_dir):
                       (F.col("cluster") == -1).cast("int").alias("noise"), "lang", "source")
 
 
-@register("mreach_mst_weight")
+@register("mreach_mst_weight", sql="""
+WITH RECURSIVE pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+d AS (SELECT a.id, b.id AS bid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM pts a, pts b),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, bid) AS rk FROM d),
+c AS (SELECT pts.id, x, y, dist AS core FROM pts JOIN r ON r.id = pts.id AND rk = 5),
+prim(step, id, key) AS (
+  SELECT 0, id, CASE WHEN id = (SELECT min(id) FROM c) THEN 0.0 ELSE 'inf'::DOUBLE END FROM c
+  UNION ALL
+  SELECT step + 1, w.id, least(w.key, greatest(a.core, b.core, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))))
+  FROM (SELECT *, first_value(id) OVER (ORDER BY key, id) AS nid FROM prim) w
+  JOIN c a ON a.id = w.id JOIN c b ON b.id = w.nid WHERE w.id <> w.nid),
+e AS (SELECT step, min(key) AS weight FROM prim WHERE step > 0 GROUP BY step)
+SELECT count(*) AS n_edges, round(sum(weight), 6) AS total_weight FROM e""")
 def q_mreach_mst_weight(spark, sf_dir):
     """CLU-2: total weight of the mutual-reachability MST (min_samples 5, 2-D);
     brute-force Prim in the tests."""

@@ -126,7 +126,7 @@ def q_projection_grid(spark, sf_dir):
     cfg = param_grid(spark, PROJECTION_GRID)
     configs = [r.asDict() for r in cfg.orderBy("config_id").collect()]
     emb = table(spark, sf_dir, "embeddings")
-    proj = umap_grid(emb, configs, id_col="vec_id", vec_col="embedding", n_epochs=15)
+    proj = umap_grid(emb, configs, id_col="vec_id", vec_col="embedding")
     ent = M.joint_entropy(proj, ["umap_0", "umap_1"], by=["config_id"])
     scored = cfg.join(ent.select("config_id", "entropy"), "config_id", "left")
     best = best_config(scored, "entropy", maximize=False).select(F.col("config_id").alias("_best"))

@@ -5,8 +5,8 @@ date, category}}}``.  The reader takes that envelope with an explicit schema,
 either as one multi-line object per file or one envelope per line, and
 explodes the ``results`` map into rows.  The writer produces the same
 envelope, one per line, each holding a bounded bucket of records (ids hashed
-into ``ceil(n / records_per_envelope)`` buckets), so no single task or file
-holds the whole corpus; snapshots are ``snapshot_ts=…`` partitions.
+into ``ceil(bytes / envelope_bytes)`` buckets), so that no row grows with the
+corpus; snapshots are ``snapshot_ts=…`` partitions.
 """
 
 from __future__ import annotations
@@ -39,10 +39,12 @@ def read_corpus_json(spark: SparkSession, path: str, multi_line: bool = False,
 
 
 def write_corpus_json(df: DataFrame, path: str, queries: list[str], snapshot_ts: str,
-                      records_per_envelope: int = 50_000, mode: str = "append") -> None:
-    """SNK-1: ``df`` has ``id, title, abstract, date, category`` (strings)."""
-    n = df.count()
-    buckets = max(1, math.ceil(n / records_per_envelope))
+                      envelope_bytes: int = 8 << 20, mode: str = "append") -> None:
+    """SNK-1: ``df`` has ``id, title, abstract, date, category`` (strings).  Envelopes hold about
+    ``envelope_bytes`` of text each."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long")
+                for c in ("id", "title", "abstract", "date", "category")), F.lit(64).cast("long"))
+    buckets = max(1, math.ceil((df.agg(F.sum(size)).first()[0] or 0) / envelope_bytes))
     rec = F.struct(*[F.col(c).cast("string").alias(c) for c in ("title", "abstract", "date", "category")])
     env = (df.groupBy(F.pmod(F.xxhash64(F.col("id")), F.lit(buckets)).alias("_b"))
            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), rec))).alias("results"))

@@ -1,38 +1,26 @@
-"""Replayable search connector (SRC-2, SRC-4, SRC-7, LIM-2, SET-1).
-
-Live search APIs are out of scope; what the connector reads is a *recording*
-of the pages an API returned: NDJSON partitioned by ``query_idx=…/page=…``,
-each line an article with ``total_results``.  ``record_search_pages`` builds
-such a recording from a landed article table with Spark (all named queries in
-one scan; only the ``max_results`` best per query are kept, a partial
-WindowGroupLimit, plus a per-query count).
-
-``CorpusSearchSource`` (format ``corpus_search``) is a Python Data Source:
-one input partition per (query, page); the number of pages per query follows
-the reference's paging rule (page size 20, stop once ``total`` rows are
-collected or ``page·size > max_results``).  ``pushFilters`` takes equality on
-``lang``/``source`` and ranges on ``published_at`` into the reader.
-
-The recording folder must be a POSIX path visible to the driver and the
-executors (a shared mount on a cluster).
+"""Landed search pages (SRC-2, SRC-4, SRC-7, LIM-2, SET-1).
+
+Live search APIs are out of scope; what is read here are the pages an API
+returned, landed as NDJSON in folders ``query_idx=…/page=…``, each line an
+article with ``total_results``.  ``record_search_pages`` lands such pages from
+an article table (all named queries in one scan; only the ``max_results`` best
+per query are kept, a partial WindowGroupLimit, plus a per-query count).
+
+``read_search_pages`` is Spark's own JSON source over those folders: any store
+that Spark reads, partition pruning on query and page, and every predicate the
+caller adds.  The paging rule is a column expression: the first page is always
+read; page p is read while ``p * size <= max_results``, up to the last page.
 """
 
 from __future__ import annotations
 
-import glob
-import json
-import math
-import os
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition,
-                                    LessThanOrEqual)
 
 from quarry.operators.predicates import keyword_search
 
 SCHEMA = ("query_idx int, query string, page int, pos int, total_results long, id string, url string, "
-          "title string, source string, lang string, published_at string")
+          "title string, source string, lang string, country string, published_at string")
 
 
 def record_search_pages(articles: DataFrame, fields: dict, queries: dict, id_col: str, order_col: str,
@@ -58,90 +46,21 @@ def record_search_pages(articles: DataFrame, fields: dict, queries: dict, id_col
     out.write.mode("overwrite").partitionBy("query_idx", "page").json(out_dir)
 
 
-class _PagePartition(InputPartition):
-    def __init__(self, query_idx: int, page: int, files: list[str]):
-        self.query_idx, self.page, self.files = query_idx, page, files
-
-
-class CorpusSearchReader(DataSourceReader):
-    def __init__(self, options, schema):
-        self.path = options["path"]
-        self.page_size = int(options.get("page_size", 20))
-        self.max_results = int(options.get("max_results", 100))
-        wanted = options.get("queries")
-        self.queries = None if not wanted else {int(x) for x in wanted.split(",")}
-        self.eq: dict[str, str] = {}
-        self.lo: str | None = None
-        self.hi: str | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            col = f.attribute[0] if hasattr(f, "attribute") else None
-            if isinstance(f, EqualTo) and col in ("lang", "source"):
-                self.eq[col] = f.value
-            elif isinstance(f, GreaterThanOrEqual) and col == "published_at":
-                self.lo = str(f.value)
-            elif isinstance(f, LessThanOrEqual) and col == "published_at":
-                self.hi = str(f.value)
-            else:
-                yield f
-
-    def _pages(self, q: int) -> int:
-        first = sorted(glob.glob(os.path.join(self.path, f"query_idx={q}", "page=1", "*.json")))
-        total = 0
-        for fn in first:
-            with open(fn, encoding="utf-8") as fh:
-                line = fh.readline()
-                if line.strip():
-                    total = int(json.loads(line)["total_results"])
-                    break
-        # reference rule: fetch page p while collected < total and p * size <= max
-        return min(math.ceil(total / self.page_size), self.max_results // self.page_size)
-
-    def partitions(self):
-        parts = []
-        qdirs = sorted(glob.glob(os.path.join(self.path, "query_idx=*")))
-        for qd in qdirs:
-            q = int(qd.rsplit("=", 1)[1])
-            if self.queries is not None and q not in self.queries:
-                continue
-            for p in range(1, self._pages(q) + 1):
-                files = sorted(glob.glob(os.path.join(qd, f"page={p}", "*.json")))
-                parts.append(_PagePartition(q, p, files))
-        return parts or [_PagePartition(-1, 0, [])]
-
-    def read(self, partition):
-        for fn in partition.files:
-            with open(fn, encoding="utf-8") as fh:
-                for line in fh:
-                    if not line.strip():
-                        continue
-                    r = json.loads(line)
-                    if any(r.get(k) != v for k, v in self.eq.items()):
-                        continue
-                    pub = r.get("published_at")
-                    if self.lo is not None and (pub is None or pub < self.lo):
-                        continue
-                    if self.hi is not None and (pub is None or pub > self.hi):
-                        continue
-                    yield (partition.query_idx, r.get("query"), partition.page, r.get("pos"),
-                           r.get("total_results"), r.get("id"), r.get("url"), r.get("title"),
-                           r.get("source"), r.get("lang"), pub)
-
-
-class CorpusSearchSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "corpus_search"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return CorpusSearchReader(self.options, schema)
-
-
-def register(spark) -> None:
-    """Register the format and enable Python Data Source filter pushdown."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(CorpusSearchSource)
+def read_search_pages(spark: SparkSession, path: str, *, page_size: int = 20, max_results: int = 100,
+                      queries: list[int] | None = None, language: str | None = None, country: str | None = None,
+                      from_date: str | None = None, to_date: str | None = None) -> DataFrame:
+    """SRC-4/7: the articles of the pages a caller of the API would have fetched.  Dates are inclusive
+    bounds on ``published_at`` (ISO text); filters left out do not apply."""
+    rows = spark.read.schema(SCHEMA).json(path)
+    last = F.least(F.ceil(F.col("total_results") / page_size), F.lit(max(1, max_results // page_size)))
+    keep = F.col("page") <= last
+    if queries is not None:
+        keep = keep & F.col("query_idx").isin(queries)
+    for col, value in (("lang", language), ("country", country)):
+        if value is not None:
+            keep = keep & (F.col(col) == value)
+    if from_date is not None:
+        keep = keep & (F.col("published_at") >= from_date)
+    if to_date is not None:
+        keep = keep & (F.col("published_at") <= to_date)
+    return rows.where(keep)

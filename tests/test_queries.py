@@ -14,9 +14,9 @@ def test_entry(spark):
 def test_every_query_has_an_oracle_or_is_known_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"chunk_recursive", "recursive_summary", "map_reduce_summary", "cluster_digest",
-                         "embed_corpus", "chunk_vector_table", "ivf_search", "kmeans_labels",
+                         "index_pages", "rag_answer", "ivf_search", "kmeans_labels",
                          "hdbscan_labels", "umap_2d", "clustering_pipeline", "fuzzy_membership",
-                         "mreach_mst_weight", "projection_grid", "benchmark_scores", "hdbscan_grid"}
+                         "projection_grid", "benchmark_scores", "hdbscan_grid"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

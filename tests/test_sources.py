@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import relational as R
 from quarry.sources.atom import read_atom
 from quarry.sources.corpus_json import read_corpus_json
-from quarry.sources.search import register
+from quarry.sources.search import read_search_pages
 
 
 def test_corpus_envelope_multiline(spark):
@@ -63,29 +63,26 @@ def _write_pages(d, total, n_pages, size=20, dup_url=None):
 
 
 def test_paging_rule_and_dedup(spark):
-    register(spark)
     d = tempfile.mkdtemp(prefix="quarry-test-")
     _write_pages(d, 47, 3, dup_url="http://n/dup")
-    rows = spark.read.format("corpus_search").option("path", d).load()
+    rows = read_search_pages(spark, d)
     assert rows.count() == 47
     assert rows.select("id").distinct().count() == 46
     d2 = tempfile.mkdtemp(prefix="quarry-test-")
     _write_pages(d2, 250, 13)
-    r2 = spark.read.format("corpus_search").option("path", d2).load()
+    r2 = read_search_pages(spark, f"file://{d2}")
     assert r2.count() == 100 and r2.select(F.max("page")).first()[0] == 5
+    assert read_search_pages(spark, d2, max_results=10).count() == 20       # the first page is always fetched
 
 
-def test_filter_pushed_into_reader(spark):
-    from pyspark.sql.datasource import EqualTo, GreaterThan
-
-    from quarry.sources.search import SCHEMA, CorpusSearchReader
-    register(spark)
+def test_search_filters(spark):
     d = tempfile.mkdtemp(prefix="quarry-test-")
     _write_pages(d, 47, 3)
-    df = spark.read.format("corpus_search").option("path", d).load().where(F.col("lang") == "en")
-    assert df.count() == 24
-    reader = CorpusSearchReader({"path": d}, SCHEMA)
-    rest = list(reader.pushFilters([EqualTo(("lang",), "en"), GreaterThan(("pos",), 3)]))
-    assert len(rest) == 1 and isinstance(rest[0], GreaterThan)
-    rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert len(rows) == 24 and {r[9] for r in rows} == {"en"}
+    assert read_search_pages(spark, d, language="en").count() == 24
+    assert read_search_pages(spark, d, country="fr").count() == 0
+    assert read_search_pages(spark, d, queries=[1]).count() == 0
+    days = [r["published_at"] for r in read_search_pages(spark, d).collect()]
+    got = read_search_pages(spark, d, from_date="2024-01-10", to_date="2024-01-12")
+    both = got.where((F.col("published_at") >= "2024-01-11") & (F.col("published_at") >= "2024-01-05"))
+    assert got.count() == sum("2024-01-10" <= x <= "2024-01-12" for x in days)
+    assert both.count() == sum("2024-01-11" <= x <= "2024-01-12" for x in days)

@@ -35,3 +35,15 @@ def test_closed_windows_only(spark):
     assert rows and all(r["window_end"] <= wm for r in rows)
     # the window [Jan 1, Jan 8) holds days 0..6
     assert {(r["window_start"], r["n"]) for r in rows} >= {(base, 7)}
+
+
+def test_dedup_does_not_depend_on_files_inside_the_watermark(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(f"u{i % 7}", t0 + dt.timedelta(days=i), str(i)) for i in range(28)]
+    for n_files in (1, 4):
+        d = tempfile.mkdtemp(prefix="quarry-test-")
+        for k in range(n_files):
+            _land(spark, d, f"b{k}", rows[k::n_files])
+        s = read_stream(spark, os.path.join(d, "*"), SCHEMA, max_files_per_trigger=1)
+        out = run_available_now(dedup_within_watermark(s, ["url"], "ts", "60 days"), f"test_dedup_{n_files}")
+        assert sorted(r["url"] for r in out.collect()) == [f"u{i}" for i in range(7)]
