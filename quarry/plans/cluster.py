@@ -148,13 +148,3 @@ def q_mreach_mst_weight(spark, sf_dir):
     from quarry.operators.cluster import mutual_reachability_mst
     mst = mutual_reachability_mst(points(spark, sf_dir), id_col="id", x="x", y="y", min_samples=5)
     return mst.agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 6).alias("total_weight"))
-
-
-@register("hdbscan_labels")
-def q_hdbscan_labels(spark, sf_dir):
-    """CLU-2: HDBSCAN (min_cluster_size 5, min_samples 5) on components 1–2:
-    distributed MST, then condensed tree and excess-of-mass selection."""
-    from quarry.operators.hdbscan import hdbscan
-    lab = hdbscan(points(spark, sf_dir), id_col="id", x="x", y="y", min_cluster_size=5, min_samples=5)
-    return lab.select("id", F.col("cluster").cast("string").alias("cluster"),
-                      (F.col("cluster") == -1).cast("int").alias("noise"))

@@ -133,31 +133,3 @@ def q_projection_grid(spark, sf_dir):
     return scored.join(best, F.col("config_id") == F.col("_best"), "left") \
         .select("config_id", "n_neighbors", "min_dist", F.round("entropy", 6).alias("entropy"),
                 F.col("_best").isNotNull().alias("is_best"))
-
-
-# The clustering grid (product order, first parameter slowest).
-HDBSCAN_GRID = {"min_cluster_size": [3, 5, 10, 15], "min_samples": [3, 5, 10],
-                "max_cluster_size": [None, 15, 25, 40], "cluster_selection_epsilon": [0.05, 0.1, 0.5]}
-
-
-@register("hdbscan_grid")
-def q_hdbscan_grid(spark, sf_dir):
-    """PIPE-4 / PIPE-5 / AGG-9: the 144-configuration HDBSCAN grid on min-max scaled
-    components 1–2, silhouette per configuration (NULL + error when undefined),
-    ``is_best`` = first configuration with the highest silhouette."""
-    from quarry.operators.hdbscan import hdbscan_grid
-    cfg = param_grid(spark, {k: v for k, v in HDBSCAN_GRID.items()}).withColumn(
-        "max_cluster_size", F.col("max_cluster_size").cast("int"))
-    pts = M.minmax_scaled(points(spark, sf_dir), ["x", "y"]).select(
-        "id", F.col("x_scaled").alias("x"), F.col("y_scaled").alias("y"))
-    lab = hdbscan_grid(pts, cfg, id_col="id", x="x", y="y")
-    lp = lab.join(pts, "id").select("config_id", "id", "x", "y", F.col("cluster").alias("label"))
-    sil = M.silhouette(lp, ["x", "y"], "label", "id", by=["config_id"])
-    stats = lab.groupBy("config_id").agg(
-        F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"),
-        F.sum(F.when(F.col("cluster") < 0, 1).otherwise(0)).cast("bigint").alias("n_noise"))
-    scored = cfg.join(stats, "config_id").join(sil, "config_id").withColumn("score", F.round("score", 6))
-    best = best_config(scored, "score", True).select(F.col("config_id").alias("_best"))
-    return scored.join(best, F.col("config_id") == F.col("_best"), "left").select(
-        "config_id", "min_cluster_size", "min_samples", "max_cluster_size", "cluster_selection_epsilon",
-        "n_clusters", "n_noise", "score", "error", F.col("_best").isNotNull().alias("is_best"))
