@@ -119,3 +119,26 @@ def keyword_search(df: DataFrame, fields: dict[str, Column | str], queries: dict
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(id_col))
         out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return out
+
+
+SORTS = ("relevancy", "popularity", "publishedAt")
+
+
+def sorted_search(df: DataFrame, fields: dict[str, Column | str], queries: dict[str, Pred], id_col: str,
+                  sort_by: str, top_n: int, *, date_col: str | None = None, source_col: str | None = None) -> DataFrame:
+    """SRT-2: the ``top_n`` matches of each query by the chosen order: ``relevancy`` (score), ``popularity``
+    (articles of the same source, most first) or ``publishedAt`` (newest first); ties by id."""
+    if sort_by not in SORTS:
+        raise ValueError(f"sort_by must be one of {SORTS}, not {sort_by!r}")
+    hits = keyword_search(df, fields, queries, id_col)
+    if sort_by == "relevancy":
+        key = F.col("score")
+    elif sort_by == "publishedAt":
+        hits = hits.join(df.select(id_col, F.col(date_col).alias("_key")), id_col)
+        key = F.col("_key")
+    else:
+        size = df.groupBy(source_col).agg(F.count("*").alias("_key"))
+        hits = hits.join(df.select(id_col, source_col), id_col).join(size, source_col)
+        key = F.col("_key")
+    w = Window.partitionBy("query_id").orderBy(key.desc_nulls_last(), F.col(id_col))
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select("query_id", "rank", id_col)

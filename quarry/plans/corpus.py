@@ -10,7 +10,7 @@ from quarry.functions import urls as U
 from quarry.functions.dates import date_window, period_window
 from quarry.functions.text import regex_token_count, truncate_words, ws_token_count
 from quarry.operators import relational as R
-from quarry.operators.predicates import keyword_search, term
+from quarry.operators.predicates import SORTS, keyword_search, sorted_search, term
 from quarry.plans.registry import register
 from quarry.session import table
 
@@ -101,6 +101,69 @@ def q_source_lang_filter(spark, sf_dir):
         .select("doc_id", "source", "lang", "n_chars")
 
 
+_SORT_QUERIES = {"the": term("abstract", "the")}
+
+
+@register("sorted_search", sql="""
+WITH t AS (SELECT doc_id, source, n_chars,
+                  string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS ta FROM documents),
+h AS (SELECT doc_id, source, n_chars, len(list_filter(ta, lambda x: x = 'the')) AS hits, len(list_filter(ta, lambda x: x <> '')) AS n
+      FROM t WHERE list_contains(ta, 'the')),
+p AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
+k AS (SELECT 'relevancy' AS sort_by, doc_id, hits::DOUBLE / n AS k FROM h
+      UNION ALL SELECT 'popularity', doc_id, size FROM h JOIN p USING (source)
+      UNION ALL SELECT 'publishedAt', doc_id, n_chars FROM h),
+r AS (SELECT sort_by, doc_id, row_number() OVER (PARTITION BY sort_by ORDER BY k DESC, doc_id) AS rank FROM k)
+SELECT sort_by, 'the' AS query_id, rank, doc_id FROM r WHERE rank <= 20""")
+def q_sorted_search(spark, sf_dir):
+    """SRT-2: the sort selector, all three orders (``n_chars`` stands in for the publication time)."""
+    d = table(spark, sf_dir, "documents")
+    out = None
+    for s in SORTS:
+        r = sorted_search(d, {"abstract": F.col("text")}, _SORT_QUERIES, "doc_id", s, 20, date_col="n_chars", source_col="source") \
+            .select(F.lit(s).alias("sort_by"), "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("source_or_domain", sql=f"""
+SELECT page_id, url FROM pages
+WHERE {SQL_HOST} IN ('ththan.example.net', 'thther.example.org')
+   OR {SQL_HOST} = 'example.com' OR ends_with({SQL_HOST}, '.example.com')""")
+def q_source_or_domain(spark, sf_dir):
+    """FIL-3: sources or domains, combined by OR."""
+    p = table(spark, sf_dir, "pages").withColumn("site", U.host(F.col("url")))
+    return filter_articles(p, sources=["ththan.example.net", "thther.example.org"], source_col="site",
+                           domains=["example.com"], url_col="url").select("page_id", "url")
+
+
+@register("source_lists", sql="""
+SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang""")
+def q_source_lists(spark, sf_dir):
+    """FN-1: the sources of each language as one comma-joined list."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.concat_ws(",", F.sort_array(F.collect_set("source"))).alias("sources"))
+
+
+@register("elapsed_time", sql="""
+SELECT user_id, epoch(max(ts) - min(ts))::DOUBLE AS elapsed_s, count(*) AS n FROM events GROUP BY user_id""")
+def q_elapsed_time(spark, sf_dir):
+    """FN-4: elapsed time between a user's first and last event (an interval, in seconds)."""
+    e = table(spark, sf_dir, "events")
+    gap = F.max("ts") - F.min("ts")
+    secs = F.extract(F.lit("DAY"), gap) * 86400 + F.extract(F.lit("HOUR"), gap) * 3600 \
+        + F.extract(F.lit("MINUTE"), gap) * 60 + F.extract(F.lit("SECOND"), gap)
+    return e.groupBy("user_id").agg(secs.cast("double").alias("elapsed_s"), F.count("*").alias("n"))
+
+
+@register("event_props", sql="""
+SELECT event_id, (props->>'k')::BIGINT AS k FROM events""")
+def q_event_props(spark, sf_dir):
+    """FN-18: a JSON column parsed with an explicit schema."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
 @register("period_filter", sql="""
 SELECT o_orderkey, o_orderdate, o_totalprice FROM orders
 WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-07-03' AND DATE '1998-08-02'""")
