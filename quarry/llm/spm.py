@@ -33,8 +33,10 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "▁"
 # Fixed values of the model format: piece types and model kinds.
@@ -125,7 +127,8 @@ class Codec:
                       if p[:k] in usable and p[k:] in usable]
             merges.sort(key=lambda x: (x[0], usable[x[2] + x[3]], x[1]))
             core = models.BPE(vocab={p: i for i, p in enumerate(names)}, merges=[(a, b) for _, _, a, b in merges],
-                              unk_token=names[unk] if unk is not None else None, byte_fallback=m.byte_fallback, fuse_unk=True)
+                              unk_token=names[unk] if unk is not None else None, byte_fallback=m.byte_fallback, fuse_unk=True,
+                              cache_capacity=0)    # texts are not words: caching them only costs memory
         else:
             # pieces that never come from text are out of reach: their score is minus infinity
             low = min((s for _, s, t in m.pieces if t == NORMAL), default=0.0)
@@ -221,26 +224,32 @@ def codec_for(data: bytes, threads: int | None = None) -> Codec:
 
 def encode_table(docs: DataFrame, model_path: str, keep: list[str], text: str = "text", threads: int = 2) -> DataFrame:
     """``keep`` columns plus ``ids array<int>``, ``n_tokens`` and ``round_trip`` (the ids decode to the
-    normalised text), one row per row."""
+    normalised text), one row per row.  Slices of about ``BATCH_CHARS`` characters leave a task one
+    by one, so that its memory does not depend on how many rows a batch holds."""
     with open(model_path, "rb") as f:
         data = f.read()
-    from pyspark.sql import functions as F
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
 
-    @F.pandas_udf("struct<ids: array<int>, n_tokens: int, round_trip: boolean>")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(data, threads)
-        ids, same = [], []
-        lo, texts = 0, list(texts)
-        while lo < len(texts):                  # bounded slices also for decoding
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < BATCH_CHARS):
-                size += len(texts[hi] or "")
-                hi += 1
-            part = codec.encode(texts[lo:hi])
-            ids += part
-            for t, d in zip(texts[lo:hi], codec.decode(part)):
-                same.append(codec.surface(t) == d)
-            lo = hi
-        return pd.DataFrame({"ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
-
-    return docs.select(*keep, encode(text).alias("_e")).select(*keep, "_e.ids", "_e.n_tokens", "_e.round_trip")
+        for b in batches:
+            texts = b.column(len(keep))
+            lo = 0
+            while lo < b.num_rows:
+                part, size = [], 0
+                while lo + len(part) < b.num_rows and (not part or size < BATCH_CHARS):
+                    part.append(texts[lo + len(part)].as_py())
+                    size += len(part[-1] or "")
+                ids = codec.encode(part)
+                same = [codec.surface(t) == d for t, d in zip(part, codec.decode(ids))]
+                ends = np.cumsum([0, *(len(x) for x in ids)]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                cols = [b.column(j).slice(lo, len(part)) for j in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends), pa.int32()),
+                     pa.array(same, pa.bool_())], names=[*keep, "ids", "n_tokens", "round_trip"])
+                lo += len(part)
+
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
