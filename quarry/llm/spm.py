@@ -118,6 +118,7 @@ class Codec:
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer, decoders, models, normalizers
         m = self.model = SpModel.parse(data)
+        self._spelled = None
         self._charsmap = normalizers.Precompiled(m.charsmap) if m.charsmap else None
         names = [p for p, _, _ in m.pieces]
         usable = {p: i for i, (p, _, t) in enumerate(m.pieces) if t in (NORMAL, USER_DEFINED, UNUSED)}
@@ -130,10 +131,16 @@ class Codec:
                               unk_token=names[unk] if unk is not None else None, byte_fallback=m.byte_fallback, fuse_unk=True,
                               cache_capacity=0)    # texts are not words: caching them only costs memory
         else:
-            # pieces that never come from text are out of reach: their score is minus infinity
+            # Pieces that never come from text get names that no text holds.  Byte pieces keep theirs, which the
+            # fallback looks up; a text that spells one is cut inside the name (see ``_cut``).
             low = min((s for _, s, t in m.pieces if t == NORMAL), default=0.0)
-            core = models.Unigram([(p, s if t in (NORMAL, USER_DEFINED, UNUSED) else low - 1e6) for p, s, t in m.pieces],
-                                  unk_id=unk, byte_fallback=m.byte_fallback)
+            from_text = set(usable.values())
+            core = models.Unigram([(p if i in from_text or t == BYTE else f"\U0010ffff{i}\U0010ffff",
+                                    s if t in (NORMAL, USER_DEFINED, UNUSED) else low)
+                                   for i, (p, s, t) in enumerate(m.pieces)], unk_id=unk, byte_fallback=m.byte_fallback)
+            self._spelled = re.compile(r"<(?=0x[0-9A-F]{2}>)") if m.byte_fallback else None
+            if m.byte_fallback and any("<0" in p for p in usable):
+                raise ValueError("unsupported SentencePiece model: a piece reaches into byte names")
         self.tokenizer = Tokenizer(core)
         #: no piece reaches over a marker that follows another character
         self.cuttable = not any(re.search(f"[^{MARKER}]{MARKER}", p) for p in usable)
@@ -166,6 +173,12 @@ class Codec:
 
     def _cut(self, text: str) -> list[str]:
         """Normalised text in pieces of about PIECE_CHARS characters that no merge reaches over."""
+        if self._spelled is not None and "<0x" in text:
+            at = [0, *(m.end() for m in self._spelled.finditer(text)), len(text)]
+            return [p for a, z in zip(at, at[1:]) for p in self._long(text[a:z])]
+        return self._long(text)
+
+    def _long(self, text: str) -> list[str]:
         if not self.cuttable or len(text) <= PIECE_CHARS:
             return [text] if text else []
         out, at = [], 0
