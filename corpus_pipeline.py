@@ -53,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = groups.where("stays AND n > 1").select("doc_id")
     if not repeated.limit(1).count():
         return left
-    w = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    w = Window.partitionBy("doc_id", "text").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     some = left.join(repeated, "doc_id", "left_semi").withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))
 

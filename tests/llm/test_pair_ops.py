@@ -22,13 +22,14 @@ def _components(n, links):
 
 
 def _words(text):
-    out, cur = [], ""
-    for ch in text:
-        if ch in " \t\n\x0b\f\r":
-            out, cur = (out + [cur], "") if cur else (out, "")
-        else:
-            cur += ch.lower() if "A" <= ch <= "Z" else ch
-    return out + [cur] if cur else out
+    out, cur = [], []
+    for ch in text + " ":
+        if ch not in " \t\n\x0b\f\r":
+            cur.append(ch.lower() if "A" <= ch <= "Z" else ch)
+        elif cur:
+            out.append("".join(cur))
+            cur = []
+    return out
 
 
 def _shingles(text):
@@ -102,10 +103,19 @@ def test_trie_links_against_brute_force():
         assert _components(len(raw), got) == _components(len(raw), links)
 
 
-def test_prefix_holds_a_shared_shingle():
-    for n in range(1, 200):
-        need = -(-80 * n // 100)
-        assert jaccard.prefix_length(n) == n - need + 1
+def test_linked_sets_share_posted_shingles():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(1, 300)
+        x = set(rng.sample(range(2000), n))
+        y = set(x)
+        for _ in range(rng.randint(0, max(1, n // 6))):
+            y.discard(rng.choice(sorted(y))) if len(y) > 1 and rng.random() < 0.5 else y.add(rng.randint(0, 2000))
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        order = {t: rng.random() for t in x | y}
+        post = [set(sorted(s, key=order.get)[:jaccard.prefix_length(len(s))]) for s in (x, y)]
+        assert len(post[0] & post[1]) >= min(jaccard.least_shared(len(x)), jaccard.least_shared(len(y)))
 
 
 def test_shingle_sets_match_plain_python():
