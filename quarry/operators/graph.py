@@ -8,10 +8,8 @@ so a dense cell (even one with a third of all points) is spread over many
 bounded tasks instead of landing in one.  Every (left tile, right tile) pair
 of neighbouring non-empty cells meets in exactly one ``cogroup`` call.
 
-``connected_components`` is min-label propagation with pointer jumping
-(label := label of label) on an edge DataFrame; every round is checkpointed
-to the shared checkpoint folder, and the loop stops when a round changes no
-label.
+``connected_components`` contracts an edge DataFrame round by round; every round
+is a table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -78,21 +76,29 @@ def grid_tile_pairs(points: DataFrame, id_col: str, x: str, y: str, eps, fn, sch
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` with component = smallest node id of the component.
 
-    Nodes may be of any orderable type.  Rounds run until none changes a label;
-    the table of a superseded round is deleted once the next one is written.
+    Contraction: every root takes the smallest root next to it (two pointer jumps deep), edges are
+    rewritten to roots, loops and doubles go.  At least half of the roots with an edge vanish per
+    round, so the rounds are logarithmic and their tables shrink; they end when no edge is left.
+    The smallest node of a component never moves.  Nodes may be of any orderable type; superseded
+    tables are deleted.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
+    e = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where(F.col("a") != F.col("b")).distinct()
     e = cut_lineage(e)
-    lab = cut_lineage(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"))
-                      .select("node", "label", F.lit(True).alias("moved")))
-    while lab.where("moved").limit(1).count():
-        nmin = e.join(lab.select(F.col("node").alias("b"), F.col("label").alias("l")), "b") \
-            .groupBy("a").agg(F.min("l").alias("m"))
-        l2 = lab.join(nmin.withColumnRenamed("a", "node"), "node", "left") \
-            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = lab.select(F.col("node").alias("label"), F.col("label").alias("pl"))
-        l3 = l2.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label"))
-        lab = cut_lineage(l3.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), replaces=lab)
+    both = e.select("a").unionByName(e.select(F.col("b").alias("a")))
+    label = cut_lineage(both.distinct().select(F.col("a").alias("node"), F.col("a").alias("root")))
+    while e.limit(1).count():
+        near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
+            .groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("root"), F.least("a", "m").alias("to"))
+        hook = cut_lineage(near)
+        for _ in range(2):
+            up = hook.select(F.col("root").alias("to"), F.col("to").alias("next"))
+            hook = cut_lineage(hook.join(up, "to").select("root", F.col("next").alias("to")), replaces=hook)
+        label = cut_lineage(label.join(hook, "root", "left").select("node", F.coalesce("to", "root").alias("root")), replaces=label)
+        ea = hook.select(F.col("root").alias("a"), F.col("to").alias("ra"))
+        eb = hook.select(F.col("root").alias("b"), F.col("to").alias("rb"))
+        moved = e.join(ea, "a").join(eb, "b").where(F.col("ra") != F.col("rb")) \
+            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        e = cut_lineage(moved, replaces=e)
+        drop_lineage(hook)
     drop_lineage(e)
-    return lab.select("node", F.col("label").alias("component"))
+    return label.select("node", F.col("root").alias("component"))
