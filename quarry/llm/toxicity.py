@@ -40,7 +40,7 @@ from quarry.llm.labelled import labelled_sample
 from quarry.llm.shingles import sets
 from quarry.session import cut_lineage, drop_lineage
 
-MAX_EXAMPLES, MAX_TERMS, MIN_G, MIN_DF = 4000, 5000, 20.0, 3
+MAX_EXAMPLES, MAX_TERMS, MIN_G, MIN_DF = 2500, 5000, 20.0, 3
 BLOCK, FIRST_BLOCKS, NEIGHBOURS = 64, 4, 15
 _WORD = re.compile(r"[^\W\d_]+")
 EVIDENCE = "array<struct<doc_id: bigint, cosine: double, label: int>>"
