@@ -25,11 +25,20 @@ from quarry.llm.labelled import fold
 from quarry.llm.queries import SP_MODEL
 from quarry.session import cut_lineage, table
 
-TOXIC_FROM, GOOD_FROM, MIX_SEED = 0.7, 0.3, 7
+TOXIC_FROM, GOOD_FROM, MIX_SEED, BATCH_ROWS = 0.7, 0.3, 7, 500
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` documents are exchanged with Python at once.  A stage is computed by whoever
+    writes its result, so this session setting stays: it bounds memory and changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose calibrated toxicity is below ``TOXIC_FROM`` (learned without fold 1 of 3)."""
+    narrow_batches(spark)
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     score = toxicity.scorer(model)
     return docs.withColumn("_s", score("text")).where(F.col("_s.score") < TOXIC_FROM).drop("_s")
@@ -37,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is at least ``GOOD_FROM`` (learned without fold 0 of 5)."""
+    narrow_batches(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     score = quality.scorer(model)
     return docs.withColumn("_s", score("text")).where(F.col("_s") >= GOOD_FROM).drop("_s")
@@ -46,6 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near copies.  Of rows that repeat an id and text
     one stays; an id goes if all its rows are redundant.  Documents without a word and rows with null
     ids all stay."""
+    narrow_batches(spark)
     groups = jaccard.jaccard_components(docs).where("n_shingles > 0 AND doc_id IS NOT NULL") \
         .groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
     groups = cut_lineage(groups.where("NOT stays OR n > 1"))
@@ -70,6 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, ids, n_tokens, round_trip)`` of every row."""
+    narrow_batches(spark)
     return spm.encode_table(docs, SP_MODEL, ["doc_id", "lang", "source"])
 
 

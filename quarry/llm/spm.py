@@ -44,7 +44,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PROBES = ["", " ", "a", "Hello  world", "  lead and trail  ", "tabs\tand\nlines\n\n", "Ünïcödé ñ é ß", "中文 \U0001d4b3 \U0001f600",
           "</s><s><0x0A><unk>", "▁mark▁", "aaaaaaaaa bbbb ==== ----", "1234567890 3.14", "\x00\x01​﻿"]
-BATCH_CHARS, PIECE_CHARS = 1 << 19, 1 << 16
+BATCH_CHARS, PIECE_CHARS = 1 << 18, 1 << 16
 _BOUNDARY = re.compile(f"[^{MARKER}](?={MARKER})")
 
 
