@@ -161,6 +161,33 @@ def test_toxicity_edge_rows(spark):
     assert docs.limit(0).select(toxicity.scorer(model)("text")).count() == 0
 
 
+def test_toxicity_rare_words_find_their_neighbours(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    clean = [" ".join(rng.choices([f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(5)], k=40)) for _ in range(60)]
+    toxic = [f"vile {c}" for c in clean[:29]] + ["qarn zubble the frondt ikthar spelg mowt"]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert model.index.n == 90                               # every example, worded in whatever way
+    (score, near), (plain, other) = model.scores(["qarn zubble a frondt ikthar spelg", clean[50]])
+    assert near[0]["doc_id"] == 89 and near[0]["cosine"] > 0.7 and score > 0.7
+    assert other[0]["doc_id"] == 50 and plain < 0.5
+    assert model.scores(["", None, "unheard"]) == [(model.base, [])] * 3
+
+
+def test_toxicity_long_clean_text_with_one_quoted_word(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, labelled.fold("doc_id", 3) != 1)
+    texts = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").where(labelled.fold("doc_id", 3) == 1)
+             .where("size(split(text, ' ')) >= 1500").select("text").collect()]
+    assert len(texts) >= 10
+    quoted = [f"{t[:len(t) // 2]} idiot {t[len(t) // 2:]}" for t in texts]
+    assert np.mean([s >= 0.7 for s, _ in model.scores(quoted)]) <= 0.1
+    assert all(near for _, near in model.scores(texts))
+
+
 # -- mixing ------------------------------------------------------------------------------------
 
 def test_targets_are_filled_by_weight():
