@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quarry.llm.labelled import labelled_sample
 from quarry.llm.shingles import mix, sets
 
-MAX_EXAMPLES, BUCKETS, MIN_G, MIN_DF = 2500, 1 << 20, 20.0, 3
+MAX_EXAMPLES, BUCKETS, MIN_G, MIN_DF = 4000, 1 << 20, 20.0, 3
 BLOCK, DENSE, NEIGHBOURS, CHUNK = 64, 512, 15, 1 << 18
 _POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 _WORD = re.compile(r"[^\W\d_]+")
