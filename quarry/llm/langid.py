@@ -13,8 +13,9 @@ largest mean posterior over its words.
   than ``CHAIN`` words is several chains.  All chains of a chunk move in step.
 
 Fitting uses at most ``MAX_PER_LANG`` documents of each language (chosen by
-hash, of at most ``MAX_TRAIN_CHARS`` characters) and minibatch Adagrad on the
-exact gradient.  Scoring reads the text only, whole, in chunks of ``CHUNK``
+hash among those with a letter, whatever their length; of a text of more than
+``MAX_TRAIN_CHARS`` characters, ``SEGMENTS`` segments at seeded places) and
+minibatch Adagrad on the exact gradient.  Scoring reads the text only, whole, in chunks of ``CHUNK``
 bytes, whatever a document's length.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter,
@@ -30,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PER_LANG, MAX_TRAIN_CHARS, LEXICON = 400, 20_000, 2_000
+MAX_PER_LANG, MAX_TRAIN_CHARS, SEGMENTS, LEXICON = 400, 20_000, 20, 2_000
 CHAIN, CHUNK, TABLE = 128, 1 << 20, 1 << 16
 EPOCHS, RATE = 3, 0.3
 _LETTER = regex.compile(r"\p{L}")
@@ -236,13 +237,28 @@ def _step(crf: Crf, batch, sq, rng) -> None:
         p -= RATE * g / np.sqrt(s)
 
 
+def training_text(text: Column, doc_id: Column) -> Column:
+    """A text of at most ``MAX_TRAIN_CHARS`` characters whole; of a longer one the segment from its first letter
+    and one at a hashed place of each equal part, without words cut in two where white space is in reach."""
+    size = MAX_TRAIN_CHARS // SEGMENTS - 1
+
+    def segment(j: Column) -> Column:
+        part = (F.length(text) - size) / (SEGMENTS - 1)
+        at = F.floor((j + F.pmod(F.xxhash64(doc_id, j), F.lit(1000)) / 1000) * part).cast("int") + 1
+        return F.regexp_replace(F.substr(text, at, F.lit(size)), r"^\S*\s|\s\S*$", "")
+
+    first = F.regexp_replace(F.substr(text, F.regexp_instr(text, F.lit(r"\p{L}")), F.lit(size)), r"\s\S*$", "")
+    rest = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 2)), segment)
+    return F.when(F.length(text) <= MAX_TRAIN_CHARS, text).otherwise(F.array_join(F.concat(F.array(first), rest), "\n"))
+
+
 def fit(docs: DataFrame, keep: Column, max_per_lang: int = MAX_PER_LANG) -> Crf | None:
     """Learn from a bounded sample of the rows that ``keep`` admits; None if there are none."""
     pool = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                      & (F.length("text") <= MAX_TRAIN_CHARS))
+                      & F.col("text").rlike(r"\p{L}"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = pool.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_per_lang)
-    rows = pool.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]) \
+    rows = pool.select("doc_id", "lang", training_text(F.col("text"), F.col("doc_id")).alias("text")).join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]) \
         .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect()
     rows = [r for r in rows if _LETTER.search(r["text"])]
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None

@@ -81,6 +81,21 @@ def test_langid_edge_rows(spark):
     assert empty.select(score("text")).count() == 0
 
 
+def test_langid_learns_languages_of_long_texts_only(spark):
+    from pyspark.sql import functions as F
+    de, fr, digits = "und der die das ist nicht " * 1200, "les des une est dans pour " * 1200, "12 34\n" * 9000
+    rows = [(1, de, "de"), (2, de[4:], "de"), (3, fr, "fr"), (4, digits + "kuka mikin hyvin", "fi"), (5, digits, "xx")]
+    rows += [(10 + i, "77 88", "fr") for i in range(30)]          # no letter: takes no place in the sample
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid.fit(df, F.lit(True), max_per_lang=2)
+    assert crf.langs == ["de", "fi", "fr"]
+    cut = {r["doc_id"]: r["t"] for r in df.select("doc_id", langid.training_text(F.col("text"), F.col("doc_id")).alias("t")).collect()}
+    assert all(len(t) <= langid.MAX_TRAIN_CHARS for t in cut.values()) and len(cut[1]) > 0.9 * langid.MAX_TRAIN_CHARS
+    assert set(cut[1].split()) == set(de.split()) and "kuka" in cut[4] and cut[10] == "77 88"
+    got = df.select("doc_id", langid.scorer(crf)("text").alias("s")).select("doc_id", "s.lang_pred").collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["de", "de", "fr"] and got[4]["lang_pred"] == "und"
+
+
 # -- boosted trees -----------------------------------------------------------------------------
 
 def test_flattened_trees_against_row_wise_walk():
