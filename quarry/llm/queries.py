@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc
+from quarry.llm import chat, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc, whitening
 from quarry.llm.batches import arrow_batches
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
@@ -202,3 +202,8 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (r) JOIN c ON c.node = w.r""")
 def op10_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
