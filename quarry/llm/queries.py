@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc, whitening
+from quarry.llm import chat, collocations, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc, whitening
 from quarry.llm.batches import arrow_batches
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
@@ -207,3 +207,26 @@ def op10_jaccard(spark, sf_dir):
 @register("op11_whitening")
 def op11_whitening(spark, sf_dir):
     return whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+@register("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM (
+  SELECT lang, m, unnest(list_transform(range(1, (len(w) - m + 2)::BIGINT), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, range(1, 4) r(m) WHERE len(w) >= m) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE m >= 2 AND f >= 10),
+cut AS (SELECT lang, m, phrase, f, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp
+        FROM c, range(1, 3) q(k) WHERE k < m),
+s AS (SELECT cut.*, a.f AS l, b.f AS r, (1000000 * cut.f * cut.f) // (a.f * b.f) AS score
+      FROM cut JOIN g a ON a.lang = cut.lang AND a.phrase = lp JOIN g b ON b.lang = cut.lang AND b.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, part, max(f) AS top FROM (SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM c WHERE m = 3) GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase AND b.m = 2 WHERE top IS NULL OR 100 * top < 50 * f)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, f DESC, phrase)::BIGINT AS rank, phrase,
+  f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000""")
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

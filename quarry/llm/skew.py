@@ -1,0 +1,18 @@
+"""Joins that stay balanced when a few keys hold most rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000
+
+
+def skew_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
+    """``rows`` joined to ``unique`` (one row per key, narrow).  Keys holding more than ``1 / share`` of the rows, of
+    which there are fewer than ``share``, join by a broadcast of their rows of ``unique``; the others by a shuffle."""
+    total = rows.count()
+    hot = rows.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys)
+    cold_side = rows.join(F.broadcast(hot), keys, "left_anti").join(unique.join(F.broadcast(hot), keys, "left_anti"), keys, how)
+    hot_side = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(unique.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return cold_side.unionByName(hot_side)
