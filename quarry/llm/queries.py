@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, collocations, fingerprint, jaccard, langid, mixing, neardup, quality, spm, toxicity, warc, whitening
+from quarry.llm import chat, collocations, fingerprint, jaccard, langid, mixing, neardup, pitmanyor, quality, spm, toxicity, warc, whitening
 from quarry.llm.batches import arrow_batches
 from quarry.llm.labelled import fold
 from quarry.session import cut_lineage, scratch_path, table
@@ -230,3 +230,8 @@ SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, f DES
 FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000""")
 def op13_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op12_pitman_yor")
+def op12_pitman_yor(spark, sf_dir):
+    return pitmanyor.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) != 2)
