@@ -1,7 +1,9 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 1. A task hashes every n-gram of its texts from prefix polynomials modulo 2^64 (bytes to words, words to
-   n-grams), counts equal fingerprints and keeps one occurrence pointer (document, byte offset) of each.
+   n-grams), counts equal fingerprints and keeps one occurrence pointer (document, byte offset) of each.  Single
+   words go first; longer n-grams are sent only if all their words may occur ``min_count`` times, by a bitmap of
+   ``2^BITMAP_BITS`` bits that misses no such word (a wrong bit only costs rows).
 2. Fingerprints are shuffled in packed ranges and summed; those seen ``min_count`` times stay, with two
    pointers into different chunks where there are any.
 3. The documents pointed at are read again: each pointer's words are hashed and must give the fingerprint
@@ -31,11 +33,11 @@ from quarry.llm.batches import arrow_batches
 from quarry.llm.blobs import deltas, narrow, pack, range_of, undelta, unpack
 from quarry.llm.polyhash import Polynomial
 from quarry.llm.shingles import mix
-from quarry.llm.skew import skew_join
+from quarry.operators.relational import skew_join
 from quarry.session import cut_lineage, drop_lineage
 
 MIN_COUNT, MAX_WORDS, TOP, SEED = 10, 3, 2000, 1
-BLOCK, CHUNK_WORDS = 1 << 20, 2_000_000
+BLOCK, CHUNK_WORDS, BITMAP_BITS = 1 << 20, 2_000_000, 27
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[list(SEPARATORS)] = True
@@ -103,17 +105,28 @@ class Grams:
         self.parts, self.n, self.pieces = [], 0, 0
         return out
 
-    def ngrams(self, words: tuple[np.ndarray, ...], langs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints and check bytes of all n-grams inside a piece, and their first words."""
+    def ngrams(self, words: tuple[np.ndarray, ...], langs: np.ndarray, n: int,
+               common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprints and check bytes of all n-grams inside a piece, and their first words; only those of words
+        that are all marked, if ``common`` marks words."""
         one, two, piece, doc, _ = words
         first = np.flatnonzero(piece[:piece.size - n + 1] == piece[n - 1:]) if piece.size >= n else np.zeros(0, np.int64)
+        if common is not None:
+            rare = np.concatenate([[0], np.cumsum(~common)])
+            first = first[rare[first + n] == rare[first]]
         salt = langs[doc[first]] + np.uint64(n)
         fp, chk = [mix(p.spans(h, first, first + n) + salt) for p, h in zip(self.polys, (one, two))]
         return fp, (chk & np.uint64(255)).astype(np.uint8), first
 
 
-def _counter(seed: int, groups: int, max_words: int, chunk_words: int):
-    """Texts -> packed counts per range of fingerprints.  Section 0 counts the words of each language."""
+def _marked(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    at = fp & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _counter(seed: int, groups: int, orders: range, chunk_words: int, marks=None):
+    """Texts -> packed counts of n-grams of these orders per range of fingerprints; order 0 counts the words of each
+    language.  ``marks``: a broadcast bitmap of the words that occur often enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[str, np.uint64] = {}
@@ -124,9 +137,14 @@ def _counter(seed: int, groups: int, max_words: int, chunk_words: int):
                 return
             words, lang, key = grams.take(), np.array(langs, np.uint64), np.array(keys, np.int64)
             out: dict[int, list] = {}
-            for n in range(max_words + 1):
+            common = None
+            if marks is not None:
+                common = np.zeros(words[3].size, bool)
+                fp, _, first = grams.ngrams(words, lang, 1)
+                common[first] = _marked(marks.value, fp)
+            for n in orders:
                 if n:
-                    fp, chk, first = grams.ngrams(words, lang, n)
+                    fp, chk, first = grams.ngrams(words, lang, n, common)
                 else:
                     fp, chk, first = mix(lang[words[3]]), np.zeros(words[3].size, np.uint8), np.arange(words[3].size)
                 order = np.argsort(fp)
@@ -142,11 +160,12 @@ def _counter(seed: int, groups: int, max_words: int, chunk_words: int):
                 group = range_of(fp, groups)
                 edge = np.append(np.flatnonzero(np.diff(group, prepend=np.uint64(groups + 1))), group.size)
                 for a, z in zip(edge[:-1], edge[1:]):
-                    used, local = np.unique(doc[a:z], return_inverse=True)
-                    out.setdefault(int(group[a]), []).append(
-                        (n, [deltas(fp[a:z]), narrow(count[a:z]), chk[a:z], narrow(local), narrow(pos[a:z]), key[used]]))
-            rows = [(g, pack(np.array([n for n, _ in sections], np.int16), *[x for _, s in sections for x in s]))
-                    for g, sections in out.items()]
+                    out.setdefault(int(group[a]), []).append((n, doc[a:z], [deltas(fp[a:z]), narrow(count[a:z]), chk[a:z], narrow(pos[a:z])]))
+            rows = []
+            for g, sections in out.items():
+                used, local = np.unique(np.concatenate([d for _, d, _ in sections]), return_inverse=True)
+                rows.append((g, pack(np.array([n for n, _, _ in sections], np.int16), key[used], narrow(local),
+                                     *[x for _, _, s in sections for x in s])))
             yield pd.DataFrame(rows, columns=["g", "blob"])
 
         for pdf in batches:
@@ -171,10 +190,13 @@ def _summed(min_count: int):
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         sections: dict[int, list] = {}
         for blob in pdf["blob"]:
-            kinds, *arrays = unpack(blob)
+            kinds, key, local, *arrays = unpack(blob)
+            begin = 0
             for j, n in enumerate(kinds):
-                step, count, chk, local, pos, key = arrays[6 * j:6 * j + 6]
-                sections.setdefault(int(n), []).append((undelta(step), chk, count.astype(np.int64), key[local], pos.astype(np.int64)))
+                step, count, chk, pos = arrays[4 * j:4 * j + 4]
+                doc = key[local[begin:begin + step.size]]
+                begin += step.size
+                sections.setdefault(int(n), []).append((undelta(step), chk, count.astype(np.int64), doc, pos.astype(np.int64)))
         frames = []
         for n, parts in sections.items():
             fp, chk, count, doc, pos = [np.concatenate(x) for x in zip(*parts)]
@@ -199,6 +221,16 @@ def _summed(min_count: int):
     return add
 
 
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """One bit per hash range for the fingerprints in ``fp``: a filter of fixed size that never misses one."""
+    at = F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    rows = words.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(
+        f"shiftleft(1L, CAST((fp & {(1 << BITMAP_BITS) - 1}L) & 63L AS INT))")).alias("w")).toPandas()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[rows["i"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
 def _reader(seed: int):
     """Pointers -> phrases, each hashed again from its words."""
 
@@ -248,12 +280,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text IS NOT NULL AND text <> ''")
     texts = texts.select("lang", "text", F.xxhash64("lang", "text").alias("h"))
-    groups = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = 2 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def count(orders: range, marks=None) -> DataFrame:
+        sent = texts.mapInPandas(_counter(seed, groups, orders, chunk_words, marks), "g int, blob binary")
+        return cut_lineage(sent.groupBy("g").applyInPandas(
+            _summed(min_count), "n int, fp long, chk int, f long, d1 long, p1 long, d2 long, p2 long"))
+
     while True:
         with arrow_batches(spark, 500):
-            counted = texts.mapInPandas(_counter(seed, groups, max_words, chunk_words), "g int, blob binary")
-            kept = cut_lineage(counted.groupBy("g").applyInPandas(
-                _summed(min_count), "n int, fp long, chk int, f long, d1 long, p1 long, d2 long, p2 long"))
+            words = count(range(2))
+            marks = spark.sparkContext.broadcast(_bitmap(words.where("n = 1")))
+            kept = count(range(2, max_words + 1), marks).unionByName(words)
             points = F.array_distinct(F.array(F.struct(F.col("d1").alias("d"), F.col("p1").alias("pos")),
                                               F.struct(F.col("d2").alias("d"), F.col("p2").alias("pos"))))
             wanted = kept.select("n", "fp", "chk", "f", F.explode(points).alias("p")).groupBy(F.col("p.d").alias("h")) \
@@ -264,7 +302,6 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
                 F.first("lang").alias("lang"), F.min("phrase").alias("phrase"), F.max("phrase").alias("other"),
                 F.min("ok").alias("ok"), F.first("f").alias("f"))
                 .select("lang", "n", "phrase", "f", (F.col("ok") & (F.col("phrase") == F.col("other"))).alias("ok")))
-            drop_lineage(kept)
         if not found.where("NOT ok").limit(1).count():
             return found.drop("ok")
         drop_lineage(found)
