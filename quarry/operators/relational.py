@@ -95,3 +95,20 @@ def check_one_to_one(left: DataFrame, right: DataFrame, key: str) -> None:
     nj = left.join(right, key, "inner").count()
     if not (nl == nr == nj):
         raise ValueError(f"not 1:1 on {key}: left {nl}, right {nr}, joined {nj}")
+
+
+def skew_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``unique`` (one row per key), balanced when a few keys hold most rows: keys of more than
+    ``1 / share`` of the rows, of which there are fewer than ``share``, join by a broadcast of their rows of ``unique``,
+    the others by a shuffle.  Null keys match nothing (``how="left"`` keeps their rows)."""
+    total = rows.count()
+    if total <= 100 * share:
+        return rows.join(unique, keys, how)
+    hot = rows.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys)
+    hot_keys = hot.collect()
+    if not hot_keys:
+        return rows.join(unique, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot_keys, hot.schema))
+    cold_side = rows.join(hot, keys, "left_anti").join(unique, keys, how)
+    hot_side = rows.join(hot, keys, "left_semi").join(F.broadcast(unique.join(hot, keys, "left_semi")), keys, how)
+    return cold_side.unionByName(hot_side)
