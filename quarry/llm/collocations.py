@@ -1,9 +1,9 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 1. A task hashes every n-gram of its texts from prefix polynomials modulo 2^64 (bytes to words, words to
-   n-grams), counts equal fingerprints and keeps one occurrence pointer (document, byte offset) of each.  Single
-   words go first; longer n-grams are sent only if all their words may occur ``min_count`` times, by a bitmap of
-   ``2^BITMAP_BITS`` bits that misses no such word (a wrong bit only costs rows).
+   n-grams), counts equal fingerprints and keeps one occurrence pointer (document, byte offset) of each.  One pass per
+   length: an n-gram is sent only if both its (n-1)-grams may occur ``min_count`` times, by a bitmap of
+   ``2^BITMAP_BITS`` bits that misses none of them (a wrong bit only costs rows).
 2. Fingerprints are shuffled in packed ranges and summed; those seen ``min_count`` times stay, with two
    pointers into different chunks where there are any.
 3. The documents pointed at are read again: each pointer's words are hashed and must give the fingerprint
@@ -37,7 +37,7 @@ from quarry.operators.relational import skew_join
 from quarry.session import cut_lineage, drop_lineage
 
 MIN_COUNT, MAX_WORDS, TOP, SEED = 10, 3, 2000, 1
-BLOCK, CHUNK_WORDS, BITMAP_BITS = 1 << 20, 2_000_000, 27
+BLOCK, CHUNK_WORDS, BITMAP_BITS = 1 << 20, 1_500_000, 27
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[list(SEPARATORS)] = True
@@ -107,13 +107,12 @@ class Grams:
 
     def ngrams(self, words: tuple[np.ndarray, ...], langs: np.ndarray, n: int,
                common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprints and check bytes of all n-grams inside a piece, and their first words; only those of words
-        that are all marked, if ``common`` marks words."""
+        """Fingerprints and check bytes of all n-grams inside a piece, and their first words; with ``common``, which
+        marks the (n-1)-grams that begin at a word, only those whose both (n-1)-grams are marked."""
         one, two, piece, doc, _ = words
         first = np.flatnonzero(piece[:piece.size - n + 1] == piece[n - 1:]) if piece.size >= n else np.zeros(0, np.int64)
         if common is not None:
-            rare = np.concatenate([[0], np.cumsum(~common)])
-            first = first[rare[first + n] == rare[first]]
+            first = first[common[first] & common[first + 1]]
         salt = langs[doc[first]] + np.uint64(n)
         fp, chk = [mix(p.spans(h, first, first + n) + salt) for p, h in zip(self.polys, (one, two))]
         return fp, (chk & np.uint64(255)).astype(np.uint8), first
@@ -126,7 +125,7 @@ def _marked(bitmap: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 def _counter(seed: int, groups: int, orders: range, chunk_words: int, marks=None):
     """Texts -> packed counts of n-grams of these orders per range of fingerprints; order 0 counts the words of each
-    language.  ``marks``: a broadcast bitmap of the words that occur often enough."""
+    language.  ``marks``: a broadcast bitmap of the (n-1)-grams that occur often enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[str, np.uint64] = {}
@@ -140,8 +139,9 @@ def _counter(seed: int, groups: int, orders: range, chunk_words: int, marks=None
             common = None
             if marks is not None:
                 common = np.zeros(words[3].size, bool)
-                fp, _, first = grams.ngrams(words, lang, 1)
+                fp, _, first = grams.ngrams(words, lang, orders[0] - 1)
                 common[first] = _marked(marks.value, fp)
+                del fp, first
             for n in orders:
                 if n:
                     fp, chk, first = grams.ngrams(words, lang, n, common)
@@ -149,6 +149,7 @@ def _counter(seed: int, groups: int, orders: range, chunk_words: int, marks=None
                     fp, chk, first = mix(lang[words[3]]), np.zeros(words[3].size, np.uint8), np.arange(words[3].size)
                 order = np.argsort(fp)
                 fp, chk, first = fp[order], chk[order], first[order]
+                del order
                 if not fp.size:
                     continue
                 new = np.ones(fp.size, bool)
@@ -221,10 +222,10 @@ def _summed(min_count: int):
     return add
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
+def _bitmap(grams: DataFrame) -> np.ndarray:
     """One bit per hash range for the fingerprints in ``fp``: a filter of fixed size that never misses one."""
     at = F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    rows = words.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(
+    rows = grams.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(
         f"shiftleft(1L, CAST((fp & {(1 << BITMAP_BITS) - 1}L) & 63L AS INT))")).alias("w")).toPandas()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     out[rows["i"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64)
@@ -289,9 +290,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
 
     while True:
         with arrow_batches(spark, 500):
-            words = count(range(2))
-            marks = spark.sparkContext.broadcast(_bitmap(words.where("n = 1")))
-            kept = count(range(2, max_words + 1), marks).unionByName(words)
+            kept = last = count(range(2))
+            for n in range(2, max_words + 1):
+                marks = spark.sparkContext.broadcast(_bitmap(last.where(F.col("n") == n - 1)))
+                last = count(range(n, n + 1), marks)
+                kept = kept.unionByName(last)
             points = F.array_distinct(F.array(F.struct(F.col("d1").alias("d"), F.col("p1").alias("pos")),
                                               F.struct(F.col("d2").alias("d"), F.col("p2").alias("pos"))))
             wanted = kept.select("n", "fp", "chk", "f", F.explode(points).alias("p")).groupBy(F.col("p.d").alias("h")) \
