@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Separators and patterns.
@@ -38,12 +38,16 @@ def regex_token_count(text) -> Column:
     return F.regexp_count(_c(text), F.lit(TOKEN_PATTERN))
 
 
-def token_count(text, mode: str = "regex") -> Column:
+def token_count(text, mode="regex") -> Column:
+    """FN-7 / FN-8 / UDF-4: tokens of a text.  ``mode`` is ``ws``, ``regex`` or the caller's counter, a function of a
+    column that gives an integer column (built-in expressions or a pandas UDF around a tokenizer)."""
+    if callable(mode):
+        return mode(_c(text)).cast("int")
     if mode == "ws":
         return ws_token_count(text)
     if mode == "regex":
         return regex_token_count(text)
-    raise ValueError("token mode must be 'ws' or 'regex' (or use a pandas UDF)")
+    raise ValueError("token mode must be 'ws', 'regex' or a function of a column")
 
 
 def truncate_words(text, max_tokens: int = 4096) -> Column:
@@ -78,9 +82,11 @@ def fill_template(template: str, **values) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def template_overhead(template: str, mode: str = "regex") -> int:
-    """Tokens of the template without its placeholders (prompt overhead)."""
+def template_overhead(template: str, mode="regex") -> int:
+    """Tokens of the template without its placeholders (prompt overhead), by the same counter as the texts."""
     bare = _PLACEHOLDER.sub(" ", template)
+    if callable(mode):
+        return int(SparkSession.active().range(1).select(token_count(F.lit(bare), mode)).first()[0])
     if mode == "ws":
         return len(bare.split(" ")) - len(_PLACEHOLDER.findall(template))
     import regex as _re  # the third-party module understands \p{L}

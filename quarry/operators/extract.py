@@ -76,19 +76,20 @@ def page_title(html) -> Column:
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                      html_col: str = "html", min_pages: int | None = 3) -> DataFrame:
     """``(id, url, host, title, paragraphs, full_text)``; ``full_text`` is the
-    paragraphs joined by a blank line, NULL when nothing is left."""
-    base = cut_lineage(pages.select(id_col, url_col, U.host(F.col(url_col)).alias("host"),
+    paragraphs joined by a blank line, NULL when nothing is left.  Rows are told
+    apart by a stored row number, so repeated and null ids keep their own text."""
+    base = cut_lineage(pages.select(id_col, url_col, F.monotonically_increasing_id().alias("_row"), U.host(F.col(url_col)).alias("host"),
                                     page_title(html_col).alias("title"), paragraphs(html_col).alias("_p")))
     if min_pages:
         key = [F.xxhash64(F.lit(1), "line").alias("_h1"), F.xxhash64(F.lit(2), "line").alias("_h2")]
         # each line once per page, so that a plain count (partial sums) counts pages
         rep = base.select("host", F.explode(F.array_distinct("_p")).alias("line")).groupBy("host", *key).count() \
             .where(F.col("count") >= min_pages).drop("count")
-        lines = base.select(id_col, "host", F.posexplode("_p").alias("pos", "line")).select("*", *key)
-        paras = lines.join(rep, ["host", "_h1", "_h2"], "left_anti").groupBy(id_col).agg(
+        lines = base.select("_row", "host", F.posexplode("_p").alias("pos", "line")).select("*", *key)
+        paras = lines.join(rep, ["host", "_h1", "_h2"], "left_anti").groupBy("_row").agg(
             F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
         base = base.drop("_p").join(
-            paras.select(id_col, F.transform("_l", lambda s: s["line"]).alias("_p")), id_col, "left")
+            paras.select("_row", F.transform("_l", lambda s: s["line"]).alias("_p")), "_row", "left")
     p = F.coalesce(F.col("_p"), F.array().cast("array<string>"))
     return base.select(id_col, url_col, "host", "title", p.alias("paragraphs"),
                        F.when(F.size(p) > 0, F.array_join(p, "\n\n")).alias("full_text"))

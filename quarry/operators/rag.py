@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import PARAGRAPH_SEP, fill_template
 from quarry.operators.chunking import chunk
-from quarry.operators.embed import embed_hashed_terms, fit_hashed_terms
+from quarry.operators.embed import add_hashed_terms, fit_hashed_terms
 from quarry.operators.extract import extract_articles
 from quarry.operators.summarize import RAG_TEMPLATE, generate_column
 from quarry.operators.vector import similarity_search
@@ -59,11 +59,13 @@ def index_texts(docs: DataFrame, id_col: str, text_col: str, *, dim: int = 256,
     ``vector_scope="document"`` every chunk carries the vector of its whole document."""
     if vector_scope not in ("chunk", "document"):
         raise ValueError(f"vector_scope is 'chunk' or 'document', not {vector_scope!r}")
+    if vector_scope == "document":
+        docs = add_hashed_terms(docs, text_col, fit_hashed_terms(docs, id_col, text_col, dim), dim)
     c = chunk(docs, text_col, id_col, mode=mode).drop(text_col)
-    source, key, text = (c, "chunk_id", "chunk") if vector_scope == "chunk" else (docs, id_col, text_col)
-    vec = embed_hashed_terms(source, key, text, fit_hashed_terms(source, key, text, dim), dim)
-    others = [x for x in docs.columns if x != text_col]
-    return c.join(vec, key).select(F.col("chunk_id").alias("id"), *others, F.col("chunk").alias("text"), "split_idx", "vector")
+    if vector_scope == "chunk":
+        c = add_hashed_terms(c, "chunk", fit_hashed_terms(c, "chunk_id", "chunk", dim), dim)
+    others = [x for x in docs.columns if x not in (text_col, "vector")]
+    return c.select(F.col("chunk_id").alias("id"), *others, F.col("chunk").alias("text"), "split_idx", "vector")
 
 
 def index_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",

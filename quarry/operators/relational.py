@@ -97,11 +97,13 @@ def check_one_to_one(left: DataFrame, right: DataFrame, key: str) -> None:
         raise ValueError(f"not 1:1 on {key}: left {nl}, right {nr}, joined {nj}")
 
 
-def skew_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+def skew_join(rows: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", share: int = 1000,
+              at_most: int | None = None) -> DataFrame:
     """``rows`` joined to ``unique`` (one row per key), balanced when a few keys hold most rows: keys of more than
     ``1 / share`` of the rows, of which there are fewer than ``share``, join by a broadcast of their rows of ``unique``,
-    the others by a shuffle.  Null keys match nothing (``how="left"`` keeps their rows)."""
-    total = rows.count()
+    the others by a shuffle.  Null keys match nothing (``how="left"`` keeps their rows).  ``at_most``: a bound of the
+    number of rows, if the caller knows one; up to 100 rows a key no key counts as hot and the rows are not counted."""
+    total = rows.count() if at_most is None or at_most > 100 * share else at_most
     if total <= 100 * share:
         return rows.join(unique, keys, how)
     hot = rows.groupBy(*keys).count().where(F.col("count") * share > total).select(*keys)

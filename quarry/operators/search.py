@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
+
 
 def param_grid(spark: SparkSession, params: dict[str, list]) -> DataFrame:
     """Cartesian product of parameter lists by successive ``posexplode``
@@ -53,3 +55,19 @@ def score_curve(scores: DataFrame, score_col: str = "score") -> DataFrame:
     ok = scores.where(F.col(score_col).isNotNull() & ~F.isnan(score_col))
     w = Window.orderBy(F.col(score_col), F.col("config_id"))
     return ok.select((F.row_number().over(w) - 1).cast("bigint").alias("rank"), "config_id", F.col(score_col))
+
+
+def score_labelings(labels: DataFrame, cols: list[str], id_col: str = "id") -> DataFrame:
+    """PIPE-4/5: ``(config_id, n_clusters, n_noise, score, error)`` of labels ``(config_id, id, cols, label)``: the
+    silhouette (noise is an ordinary label) or why there is none.  Settings that give equal labels, known by two
+    hashes over all rows, are scored once."""
+    from quarry.operators.metrics import silhouette
+    marks = [F.bit_xor(F.xxhash64(F.lit(s), id_col, *cols, "label")).alias(f"_h{s}") for s in (1, 2)]
+    known = cut_lineage(labels.groupBy("config_id").agg(
+        F.countDistinct(F.when(F.col("label") != -1, F.col("label"))).alias("n_clusters"),
+        F.sum((F.col("label") == -1).cast("bigint")).alias("n_noise"), *marks))
+    first = known.groupBy("_h1", "_h2").agg(F.min("config_id").alias("_first"))
+    scored = silhouette(labels.join(F.broadcast(first.select(F.col("_first").alias("config_id"))), "config_id"),
+                        cols, "label", id_col, by=["config_id"])
+    return known.join(first, ["_h1", "_h2"]).join(scored.withColumnRenamed("config_id", "_first"), "_first") \
+        .select("config_id", "n_clusters", "n_noise", "score", "error")

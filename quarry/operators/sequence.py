@@ -208,3 +208,33 @@ def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inne
         c = a[k].eqNullSafe(F.col(f"_r_{k}"))
         cond = c if cond is None else cond & c
     return a.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds a 0-based row number by ``order`` (ties in any order, the same for every reader: rows are written)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    before = cut.groupBy("_p").count().withColumn(
+        "_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    out = cut.withColumn(name, local).join(F.broadcast(before.drop("count")), "_p") \
+        .withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_p", "_before")
+    return cut_lineage(out, replaces=cut)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], **scans: tuple) -> DataFrame:
+    """Adds inclusive running values, ``name=("sum" | "max", column)``, within groups of any size: rows are range
+    partitioned, scanned per partition, and groups that cross partitions carry their totals over (at most one
+    row per partition border, broadcast).  A scan may use the names of the scans before it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cut_lineage(df.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()))
+    local = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    for name, (kind, column) in scans.items():
+        fn = {"sum": F.sum, "max": F.max}[kind]
+        carry = out.groupBy(*by, "_p").agg(fn(column).alias("_t")) \
+            .select(*by, "_p", F.count("*").over(earlier).alias("_n"), fn("_t").over(earlier).alias("_c")).where("_n > 0").drop("_n")
+        out = out.withColumn(name, fn(column).over(local)).join(F.broadcast(carry), [*by, "_p"], "left")
+        both = F.col(name) + F.coalesce("_c", F.lit(0)) if kind == "sum" else F.greatest(name, "_c")
+        out = out.withColumn(name, both).drop("_c")
+    return out.drop("_p")

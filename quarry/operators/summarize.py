@@ -3,7 +3,8 @@
 Text generation is a pluggable batch function ``fn(list[str]) -> list[str]``
 run with ``mapInPandas`` (one call per Arrow batch; a model would be loaded
 once per Python worker by the caller's function).  The built-in default is a
-deterministic extractive summariser so every operator runs offline.
+deterministic extractive summariser made of joins and windows, which SQL can
+repeat, so every operator runs offline.
 
 All group-level operators take the group key first (cluster, lang, …), so one
 job serves every group; concatenations only ever happen inside a packed
@@ -12,17 +13,15 @@ window, whose size is bounded by the token limit.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import PARAGRAPH_SEP, fill_template, template_overhead, token_count
-from quarry.operators.sequence import greedy_windows, null_safe_join
+from quarry.operators.sequence import greedy_windows, null_safe_join, numbered
 from quarry.session import cut_lineage
 
 # Prompt templates.
@@ -51,8 +50,8 @@ REDUCE_TOKEN_MAX = 4000
 
 def prompt_docs(df: DataFrame, id_col: str, text_col: str, meta_cols: list[str]) -> DataFrame:
     """PRJ-5: ``page_content = "Article n°{i} -- {text}"`` (``i`` = the row's
-    stable id) and ``metadata`` = JSON of the row's metadata columns."""
-    return df.select("*", F.format_string(ARTICLE_FORMAT, F.col(id_col), F.col(text_col)).alias("page_content"),
+    stable id) and ``metadata`` = JSON of the row's metadata columns.  A null text is empty."""
+    return df.select("*", F.format_string(ARTICLE_FORMAT, F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("page_content"),
                      F.to_json(F.struct(*meta_cols)).alias("metadata"))
 
 
@@ -82,46 +81,57 @@ def window_prompts(docs: DataFrame, group: list[str], order: str, content_col: s
 
 # ---- GEN-1: batch generation -------------------------------------------------
 
-_SENT = re.compile(r"(?<=[.!?])\s+|\n+")
-_WORD = re.compile(r"\w+")
-
-
-def extractive_summary(text: str, max_sentences: int = 3, max_words: int | None = None) -> str:
-    """Top sentences by summed TF-IDF (IDF over the sentences of this text), returned in their
-    original order.  ``max_words`` is the caller's output budget (none by default).
-    Deterministic; never longer than the input."""
-    sents = [s.strip() for s in _SENT.split(text) if s and s.strip()]
-    if len(sents) > max_sentences:
-        toks = [[w.lower() for w in _WORD.findall(s)] for s in sents]
-        df_ = Counter(w for ts in toks for w in set(ts))
-        n = len(sents)
-        scores = []
-        for i, ts in enumerate(toks):
-            tf = Counter(ts)
-            scores.append((-sum(c * math.log(n / df_[w]) for w, c in tf.items()), i))
-        sents = [sents[i] for i in sorted(i for _, i in sorted(scores)[:max_sentences])]
-    words = " ".join(sents).split(" ")
-    return " ".join(words if max_words is None else words[:max_words])
-
-
-def extractive_generator(template: str | None = None, max_sentences: int = 3, max_words: int | None = None):
+# How the default summariser reads a text (the common subset of Java regex and RE2).
+SENTENCE_END, WORD, BLANKS = r"([.!?])[ \t\n\r\f]+", r"[\p{L}\p{N}]+", r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
+
+
+class Extractive:
+    """The default generator, a relation instead of a batch function: the ``max_sentences`` sentences of each prompt with
+    the largest summed TF-IDF (IDF over the sentences of that prompt, sums rounded to 9 decimals, ties to the earlier
+    sentence), in their order.  The template's fixed text is dropped first.  Sentences and their words are rows that
+    move once, by prompt; a prompt is bounded by its token limit.  ``max_words`` is the caller's output budget."""
+
+    def __init__(self, template: str | None = None, max_sentences: int = 3, max_words: int | None = None):
+        self.fixed = [p for p in re.split(r"\{\w+\}", template or "") if p.strip()]
+        self.max_sentences, self.max_words = max_sentences, max_words
+
+    def sentences(self, prompt) -> Column:
+        body = F.coalesce(prompt, F.lit(""))
+        for part in self.fixed:
+            body = F.replace(body, F.lit(part), F.lit("\n"))
+        lines = F.split(F.regexp_replace(body, SENTENCE_END, "$1\n"), "\n", -1)
+        return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, BLANKS, "")), lambda x: x != "")
+
+    def column(self, df: DataFrame, prompt_col: str, out_col: str) -> DataFrame:
+        rows = cut_lineage(df.withColumn("__sid", F.monotonically_increasing_id()))
+        said = rows.select("__sid", self.sentences(F.col(prompt_col)).alias("__sents"))
+        sent = said.repartition("__sid").select("__sid", F.size("__sents").alias("n"), F.posexplode("__sents").alias("pos", "s"))
+        words = sent.select("__sid", "n", "pos", F.explode_outer(F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0))).alias("w")) \
+            .groupBy("__sid", "n", "pos", "w").agg(F.count("w").alias("tf"))
+        seen = F.count("w").over(Window.partitionBy("__sid", "w"))
+        score = words.withColumn("df", seen).groupBy("__sid", "pos").agg(
+            F.round(F.coalesce(F.sum(F.when(F.col("df") > 0, F.col("tf") * F.log(F.col("n") / F.col("df")))), F.lit(0.0)), 9).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("__sid").orderBy(F.desc("score"), "pos"))
+        best = score.withColumn("r", rank).where(F.col("r") <= self.max_sentences).groupBy("__sid") \
+            .agg(F.array_sort(F.collect_list("pos")).alias("__at"))
+        out = rows.join(best, "__sid", "left").withColumn("__sents", self.sentences(F.col(prompt_col)))
+        text = F.array_join(F.transform("__at", lambda i: F.get("__sents", i)), " ")
+        if self.max_words is not None:
+            text = F.array_join(F.slice(F.split(text, " ", -1), 1, self.max_words), " ")
+        return out.withColumn(out_col, F.coalesce(text, F.lit(""))).drop("__sid", "__at", "__sents")
+
+
+def extractive_generator(template: str | None = None, max_sentences: int = 3, max_words: int | None = None) -> Extractive:
     """Default ``generate``: drops the template's fixed text, then summarises."""
-    fixed = [p for p in re.split(r"\{\w+\}", template or "") if p.strip()]
-
-    def gen(prompts: list[str]) -> list[str]:
-        out = []
-        for p in prompts:
-            for f in fixed:
-                p = p.replace(f, "\n")
-            out.append(extractive_summary(p, max_sentences, max_words))
-        return out
-    return gen
+    return Extractive(template, max_sentences, max_words)
 
 
 def generate_column(df: DataFrame, prompt_col: str, fn=None, out_col: str = "generated",
                     **params) -> DataFrame:
-    """GEN-1: ``fn(list_of_prompts, **params) -> list_of_texts`` per Arrow batch."""
+    """GEN-1: ``fn(list_of_prompts, **params) -> list_of_texts`` per Arrow batch, or an ``Extractive`` (the default)."""
     fn = fn or extractive_generator()
+    if isinstance(fn, Extractive):
+        return fn.column(df, prompt_col, out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
@@ -135,7 +145,7 @@ def generate_column(df: DataFrame, prompt_col: str, fn=None, out_col: str = "gen
 
 def recursive_summary(docs: DataFrame, group: list[str], order: str, content_col: str,
                       generate=None, template: str = STUFF_TEMPLATE, variable: str = "text",
-                      limit: int = STUFF_LIMIT, mode: str = "regex") -> DataFrame:
+                      limit: int = STUFF_LIMIT, mode="regex") -> DataFrame:
     """Summarise each group: if all its documents fit one prompt, generate once;
     otherwise pack windows, summarise each window and recurse on the
     summaries.  All groups and windows of a level run in the same jobs;
@@ -145,8 +155,8 @@ def recursive_summary(docs: DataFrame, group: list[str], order: str, content_col
     through the driver.  Returns ``(group…, summary, levels)``."""
     generate = generate or extractive_generator(template)
     overhead = template_overhead(template, mode)
-    cur = docs.select(*group, F.col(order).cast("long").alias("_o"), F.coalesce(content_col, F.lit("")).alias("_c"),
-                      F.lit(None).cast("long").alias("_before"))
+    cur = numbered(docs.select(*group, F.col(order).alias("_key"), F.coalesce(content_col, F.lit("")).alias("_c")),
+                   [*group, "_key"], "_o").drop("_key").withColumn("_before", F.lit(None).cast("long"))
     finished: DataFrame | None = None
     level = 0
     while True:
@@ -174,7 +184,7 @@ def recursive_summary(docs: DataFrame, group: list[str], order: str, content_col
 
 def map_reduce_summary(docs: DataFrame, group: list[str], order: str, content_col: str,
                        generate_map=None, generate_reduce=None, chunk_tokens: int = 1000,
-                       token_max: int = REDUCE_TOKEN_MAX, mode: str = "regex",
+                       token_max: int = REDUCE_TOKEN_MAX, mode="regex",
                        map_template: str = MAP_TEMPLATE, map_variable: str = "docs",
                        reduce_template: str = REDUCE_TEMPLATE, reduce_variable: str = "doc_summaries") -> DataFrame:
     """Chunk every document (TXT-2), summarise each chunk with the map prompt,
@@ -182,13 +192,15 @@ def map_reduce_summary(docs: DataFrame, group: list[str], order: str, content_co
     the reduce prompt until a group's summaries fit (or no longer shrink), then
     reduce once more.  Groups are compared with their state of the level before
     inside Spark; nothing about them passes through the driver."""
-    from quarry.operators.chunking import token_chunks
+    from quarry.operators.chunking import counted_chunks, token_chunks
     gm = generate_map or extractive_generator(map_template)
     gr = generate_reduce or extractive_generator(reduce_template)
-    ch = docs.select(*group, F.col(order).alias("_doc"),
-                     F.posexplode_outer(token_chunks(F.col(content_col), chunk_tokens, mode=mode)).alias("_i", "_c"))
-    ch = ch.select(*group, (F.col("_doc").cast("long") * F.lit(1 << 20) + F.coalesce("_i", F.lit(0))).alias("_o"),
-                   F.coalesce("_c", F.lit("")).alias("_c"))
+    d = docs.select(*group, F.col(order).alias("_doc"), F.col(content_col).alias("_text"))
+    d = counted_chunks(d, "_text", chunk_tokens, mode) if callable(mode) else \
+        d.withColumn("_chunks", token_chunks("_text", chunk_tokens, mode=mode))
+    ch = d.select(*group, "_doc", F.posexplode_outer("_chunks").alias("_i", "_c"))
+    ch = numbered(ch.select(*group, "_doc", F.coalesce("_i", F.lit(0)).alias("_i"), F.coalesce("_c", F.lit("")).alias("_c")),
+                  [*group, "_doc", "_i"], "_o").drop("_doc", "_i")
     none = F.lit(None).cast("long")
     cur = cut_lineage(generate_column(ch.withColumn("prompt", fill_template(map_template, **{map_variable: F.col("_c")})),
                                       "prompt", gm, "_s").select(*group, "_o", F.col("_s").alias("_c"),

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
 from quarry.operators.cluster import dbscan
-from quarry.operators.search import best_config, best_so_far, param_grid, score_curve
-from quarry.plans.metrics import points, sil_ctes
+from quarry.operators.hdbscan import cluster_grid
+from quarry.operators.search import best_config, best_so_far, param_grid, score_curve, score_labelings
+from quarry.plans.metrics import XY_SQL, points, sil_ctes
 from quarry.plans.registry import register
-from quarry.session import table
+from quarry.session import cut_lineage, table
 
 # The DBSCAN grid (product order, first parameter slowest).
 DBSCAN_GRID = {"eps": [0.015, 0.02, 0.03], "min_samples": [3, 5, 10]}
@@ -44,7 +45,7 @@ def _grid_sql() -> str:
                      for i, e in enumerate(DBSCAN_GRID["eps"]) for j, m in enumerate(DBSCAN_GRID["min_samples"]))
     return f"""
 cfg AS (SELECT * FROM (VALUES {vals}) t(config_id, eps, min_samples)),
-raw AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+raw AS ({XY_SQL}),
 nb AS (SELECT c.config_id, a.id AS i, b.id AS j FROM cfg c, raw a, raw b
        WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= c.eps * c.eps),
 core AS (SELECT nb.config_id, i FROM nb JOIN cfg USING (config_id) GROUP BY nb.config_id, i, cfg.min_samples
@@ -113,6 +114,27 @@ def q_score_curve(spark, sf_dir):
     return score_curve(g, "score")
 
 
+# The clustering grid (product order, first parameter slowest).
+CLUSTERING_GRID = {"min_cluster_size": [3, 5, 10, 15], "min_samples": [3, 5, 10], "max_cluster_size": [None, 15, 25, 40],
+                   "cluster_selection_epsilon": [0.05, 0.1, 0.5]}
+
+
+@register("hdbscan_grid")
+def q_hdbscan_grid(spark, sf_dir):
+    """PIPE-4 / PIPE-5 / AGG-9: all 144 HDBSCAN settings on min-max scaled points in one set of jobs (three spanning
+    trees), the silhouette or the error of each; ``is_best`` marks the first best one."""
+    cfg = param_grid(spark, CLUSTERING_GRID)
+    configs = [r.asDict() for r in cfg.orderBy("config_id").collect()]
+    scaled = M.minmax_scaled(points(spark, sf_dir).select("id", "x", "y"), ["x", "y"]).select(
+        "id", F.col("x_scaled").alias("x"), F.col("y_scaled").alias("y"))
+    labels = cut_lineage(cluster_grid(scaled, configs, id_col="id", x="x", y="y").withColumnRenamed("cluster", "label"))
+    g = cfg.join(score_labelings(labels, ["x", "y"]), "config_id")
+    best = best_config(g, "score").select(F.col("config_id").alias("_best"))
+    return g.join(best, F.col("config_id") == F.col("_best"), "left").select(
+        "config_id", *CLUSTERING_GRID, "n_clusters", "n_noise", F.round("score", 6).alias("score"), "error",
+        F.col("_best").isNotNull().alias("is_best"))
+
+
 # The projection grid (product order, first parameter slowest).
 PROJECTION_GRID = {"n_neighbors": [2, 4, 8, 10], "min_dist": [0.001, 0.01, 0.1, 0.5]}
 

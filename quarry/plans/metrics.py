@@ -1,29 +1,45 @@
-"""Clustering-score queries over ``embeddings``: components 1–2 are the 2-D
-coordinates, ``label`` is the cluster (FIXTURES §2)."""
+"""Clustering-score queries over ``embeddings``: two signed sums of all components are the 2-D
+coordinates (orthogonal Walsh rows, a linear projection that SQL can repeat), ``label`` is the cluster
+(FIXTURES §2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import as_double
 from quarry.operators import metrics as M
 from quarry.plans.registry import register
 from quarry.session import table
 
-# "Models" of the score matrix: which two embedding components are the coordinates.
-SCORE_MODELS = {"c01": (0, 1), "c23": (2, 3), "c45": (4, 5)}
+# "Models" of the score matrix: which two Walsh rows give the coordinates.
+SCORE_MODELS = {"c01": (21, 42), "c23": (7, 56), "c45": (27, 45)}
+X_ROW, Y_ROW = SCORE_MODELS["c01"]
 
 
-def points(spark, sf_dir, i=0, j=1):
+def walsh(vec, row: int):
+    """Signed sum of all components over the root of their number: the sign of component i is the parity of the
+    bits that i and ``row`` share."""
+    signed = F.transform(as_double(vec), lambda v, i: F.when(F.bit_count(i.bitwiseAND(F.lit(row))) % 2 == 0, v).otherwise(-v))
+    return F.aggregate(signed, F.lit(0.0), lambda acc, v: acc + v) / F.sqrt(F.size(vec))
+
+
+def walsh_sql(row: int, vec: str = "embedding") -> str:
+    return (f"(list_sum(list_transform(CAST({vec} AS DOUBLE[]), lambda v, i: CASE WHEN bit_count((i - 1) & {row}) % 2 = 0 "
+            f"THEN v ELSE -v END)) / sqrt(len({vec})))")
+
+
+XY_SQL = f"SELECT vec_id AS id, {walsh_sql(X_ROW)} AS x, {walsh_sql(Y_ROW)} AS y, label FROM embeddings"
+
+
+def points(spark, sf_dir, i=X_ROW, j=Y_ROW):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding")[i].cast("double").alias("x"),
-                    F.col("embedding")[j].cast("double").alias("y"), "label")
+    return e.select(F.col("vec_id").alias("id"), walsh("embedding", i).alias("x"), walsh("embedding", j).alias("y"), "label")
 
 
 def model_points(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    parts = [e.select(F.lit(m).alias("model"), F.col("vec_id").alias("id"),
-                      F.col("embedding")[i].cast("double").alias("x"),
-                      F.col("embedding")[j].cast("double").alias("y"), "label")
+    parts = [e.select(F.lit(m).alias("model"), F.col("vec_id").alias("id"), walsh("embedding", i).alias("x"),
+                      walsh("embedding", j).alias("y"), "label")
              for m, (i, j) in SCORE_MODELS.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -35,11 +51,9 @@ def model_points(spark, sf_dir):
 
 def _pts_sql(grouped: bool) -> str:
     if not grouped:
-        return ("SELECT 0 AS g, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, "
-                "CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings")
+        return f"SELECT 0 AS g, * FROM ({XY_SQL})"
     return " UNION ALL ".join(
-        f"SELECT '{m}' AS g, vec_id AS id, CAST(embedding[{i + 1}] AS DOUBLE) AS x, "
-        f"CAST(embedding[{j + 1}] AS DOUBLE) AS y, label FROM embeddings"
+        f"SELECT '{m}' AS g, vec_id AS id, {walsh_sql(i)} AS x, {walsh_sql(j)} AS y, label FROM embeddings"
         for m, (i, j) in SCORE_MODELS.items())
 
 
@@ -156,6 +170,21 @@ def q_silhouette(spark, sf_dir):
     return r.select(F.round("score", 6).alias("score"), "error")
 
 
+@register("silhouette_sq", sql=f"""
+WITH pts AS ({_pts_sql(False)}),
+mom AS (SELECT label AS c, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS ss FROM pts GROUP BY label),
+d AS (SELECT id, label, c, n, greatest(x * x + y * y - 2 * (x * sx + y * sy) / n + ss / n, 0) AS m FROM pts, mom),
+p AS (SELECT id, label, max(CASE WHEN c = label THEN n END) AS n, max(CASE WHEN c = label THEN m * n / greatest(n - 1, 1) END) AS a,
+             min(CASE WHEN c <> label THEN m END) AS b FROM d GROUP BY id, label),
+g AS (SELECT avg(CASE WHEN n <= 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS score,
+             count(*) AS n, count(DISTINCT label) AS k FROM p)
+SELECT CASE WHEN k < 2 OR k > n - 1 THEN NULL ELSE round(score, 6) END AS score, {_err_sql('k', 'n')} AS error FROM g""")
+def q_silhouette_sq(spark, sf_dir):
+    """AGG-5 with squared distances, from cluster moments."""
+    r = M.silhouette_sq(points(spark, sf_dir), ["x", "y"], "label")
+    return r.select(F.round("score", 6).alias("score"), "error")
+
+
 @register("score_matrix", sql=f"""
 WITH pts AS ({_pts_sql(True)}),{entropy_ctes()},{ch_ctes()},{db_ctes()},{sil_ctes()}
 SELECT g AS model, round(ch.score, 6) AS calinski_harabasz, round(sil.score, 6) AS silhouette,

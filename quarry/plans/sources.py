@@ -15,7 +15,7 @@ from quarry.plans.registry import register
 from quarry.session import ensure_checkpoint_dir, table
 from quarry.sources.atom import read_atom, write_atom
 from quarry.sources.corpus_json import read_corpus_json, write_corpus_json
-from quarry.sources.search import read_search_pages, record_search_pages
+from quarry.sources.search import paged_search
 
 
 def _scratch(spark, name):
@@ -74,13 +74,9 @@ p AS (SELECT *, CAST(ceil(pos / 20) AS INTEGER) AS page FROM r WHERE pos <= 100
 SELECT CAST(doc_id AS VARCHAR) AS id, max(query_idx) AS query_idx, arg_max(page, query_idx) AS page,
        CAST(arg_max(pos, query_idx) AS INTEGER) AS pos, min(query_idx) AS first_query_idx FROM p GROUP BY doc_id""")
 def q_search_replay(spark, sf_dir):
-    """SRC-2/4/7 + LIM-2 + SET-2: recorded search pages (newest first, ≤100 per query,
-    page size 20) read back under the paging rule with a language filter, then
-    keyed by id (last query wins)."""
+    """SRC-2/4/7 + LIM-2 + SET-2: two searches, newest first, at most 100 matches each in pages of 20, their English
+    articles keyed by id (last query wins)."""
     d = table(spark, sf_dir, "documents")
-    path = _scratch(spark, "search")
-    record_search_pages(d, {"abstract": F.col("text")}, SEARCHES, "doc_id", "doc_id", path,
-                        select={"lang": "lang", "source": "source", "title": "doc_id"})
-    rows = read_search_pages(spark, path, language="en")
-    k = R.keep_last(rows.select("id", "query_idx", "page", "pos"), ["id"], ["query_idx"])
+    rows = paged_search(d, {"abstract": F.col("text")}, SEARCHES, "doc_id", "doc_id", keep=("lang",)).where("lang = 'en'")
+    k = R.keep_last(rows.select(F.col("id").cast("string").alias("id"), "query_idx", "page", "pos"), ["id"], ["query_idx"])
     return k.select("id", "query_idx", "page", "pos", F.col("first_query_idx"))

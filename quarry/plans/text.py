@@ -10,12 +10,14 @@ from quarry.functions.text import regex_token_count, template_overhead
 from quarry.operators import relational as R
 from quarry.operators.chunking import chunk, recursive_chunks, token_chunks, window_chunks
 from quarry.operators.cluster import assign_to_centroids
-from quarry.operators.embed import embed_hashed_terms, fit_hashed_terms
+from quarry.operators.embed import add_hashed_terms, fit_hashed_terms
 from quarry.operators.extract import extract_articles, page_links
-from quarry.operators.summarize import (STUFF_LIMIT, STUFF_TEMPLATE, map_reduce_summary, pack_windows,
-                                        prompt_docs, recursive_summary, window_prompts)
+from quarry.operators.summarize import (MAP_TEMPLATE, REDUCE_TEMPLATE, REDUCE_TOKEN_MAX, STUFF_LIMIT, STUFF_TEMPLATE,
+                                        extractive_generator, map_reduce_summary, pack_windows, prompt_docs,
+                                        recursive_summary, window_prompts)
 from quarry.operators.vector import mean_vectors_by
 from quarry.plans.corpus import SQL_CANON, SQL_HOST, SQL_TOKEN_COUNT, SQL_URI
+from quarry.plans.embeddings import tfidf_sql
 from quarry.plans.registry import register
 from quarry.session import cut_lineage, table
 
@@ -88,9 +90,43 @@ def q_chunk_ids(spark, sf_dir):
                     F.col("lang").alias("category"))
 
 
-@register("chunk_recursive")
+def _level_sql(segs: str, sep: str) -> str:
+    """One pass of the recursive splitter over a list of {s, n, f} (DuckDB)."""
+    if not sep:
+        cut = "list_transform(range(0, x.n), lambda i: {'s': NULL::VARCHAR, 'n': 1, 'f': i = 0})"
+        return f"flatten(list_transform({segs}, lambda x: CASE WHEN x.s IS NULL THEN [x] ELSE {cut} END))"
+    q = {"\n\n": NL2, "\n": "chr(10)", " ": "' '"}[sep]
+    parts = (f"list_filter(list_transform(string_split(x.s, {q}), lambda p, i: CASE WHEN i > 1 THEN {q} || p ELSE p END), lambda p: p <> '')")
+    cut = (f"list_transform([{parts}], lambda ps: list_transform(ps, lambda p, i: {{'s': CASE WHEN length(p) >= 600 THEN p END, "
+           "'n': length(p)::BIGINT, 'f': i = 1 OR length(ps[i - 1]) >= 600}))[1]")
+    return f"flatten(list_transform({segs}, lambda x: CASE WHEN x.s IS NOT NULL AND contains(x.s, {q}) THEN {cut} ELSE [x] END))"
+
+
+_RECURSIVE_SQL = f"""
+WITH l0 AS (SELECT doc_id, text, [{{'s': text, 'n': length(text)::BIGINT, 'f': true}}] AS g FROM documents WHERE text <> ''),
+l1 AS (SELECT doc_id, text, {_level_sql('g', chr(10) * 2)} AS g FROM l0),
+l2 AS (SELECT doc_id, text, {_level_sql('g', chr(10))} AS g FROM l1),
+l3 AS (SELECT doc_id, text, {_level_sql('g', ' ')} AS g FROM l2),
+l4 AS (SELECT doc_id, text, {_level_sql('g', '')} AS g FROM l3),
+fold AS (SELECT doc_id, text, list_reduce(
+    list_transform(g, lambda x: {{'n': x.n, 'f': x.f, 'o': []::BIGINT[], 'c': []::BIGINT[], 'b': 0::BIGINT}}),
+    lambda a, x: {{'n': 0::BIGINT, 'f': false,
+      'o': CASE WHEN len(a.c) > 0 AND (x.f OR a.b - a.c[1] + x.n > 600) THEN a.o || [a.c[1], a.b] ELSE a.o END,
+      'c': list_append(CASE WHEN x.f THEN []::BIGINT[]
+                            WHEN len(a.c) > 0 AND a.b - a.c[1] + x.n > 600
+                            THEN list_filter(a.c, lambda s: a.b - s <= 100 AND a.b - s + x.n <= 600) ELSE a.c END, a.b),
+      'b': a.b + x.n}},
+    {{'n': 0::BIGINT, 'f': false, 'o': []::BIGINT[], 'c': []::BIGINT[], 'b': 0::BIGINT}}) AS r FROM l4),
+sp AS (SELECT doc_id, text, CASE WHEN len(r.c) > 0 THEN r.o || [r.c[1], r.b] ELSE r.o END AS o FROM fold),
+ch AS (SELECT doc_id, list_filter(list_transform(range(1, len(o) // 2 + 1), lambda i:
+         regexp_replace(substring(text, o[2 * i - 1] + 1, o[2 * i] - o[2 * i - 1]), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), lambda c: c <> '') AS c FROM sp)
+SELECT doc_id, (i - 1)::INTEGER AS split_idx, length(c[i])::INTEGER AS n_chars, md5(c[i]) AS chunk_md5
+FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM ch)"""
+
+
+@register("chunk_recursive", sql=_RECURSIVE_SQL)
 def q_chunk_recursive(spark, sf_dir):
-    """TXT-1 (recursive mode, 600/100): property-tested, rows-only in the driver check."""
+    """TXT-1 (recursive mode, 600/100), native: a pass per separator and a fold over lengths."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     c = d.select("doc_id", F.posexplode(recursive_chunks("text")).alias("split_idx", "chunk"))
     return c.select("doc_id", "split_idx", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
@@ -265,27 +301,136 @@ def q_stuff_prompt(spark, sf_dir):
                      F.md5("prompt").alias("prompt_md5"))
 
 
-@register("recursive_summary")
+# ---- summaries in SQL: the levels are unrolled, a level without rows stays empty --------------------------
+
+SUMMARY_LEVELS = 6
+
+
+def _summaries_sql(name: str, source: str, template: str, key: str) -> str:
+    """``{name}(key…, s)``: the default summary of ``prompt`` in ``source`` (key: its key columns)."""
+    body = "prompt"
+    for part in extractive_generator(template).fixed:
+        body = f"replace({body}, {_sql_str(part)}, chr(10))"
+    return f"""
+{name}_s AS (SELECT {key}, len(s) AS n, unnest(s) AS s, unnest(range(len(s))) AS pos FROM (
+    SELECT {key}, list_filter(list_transform(string_split(regexp_replace({body}, '([.!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10)),
+      lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS s FROM {source})),
+{name}_w AS (SELECT {key}, n, pos, w, count(*) AS tf FROM (
+    SELECT {key}, n, pos, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+')) AS w FROM {name}_s) GROUP BY ALL),
+{name}_c AS (SELECT {key}, pos, round(sum(tf * ln(n / df)), 9) AS score FROM (
+    SELECT *, count(*) OVER (PARTITION BY {key}, w) AS df FROM {name}_w) GROUP BY {key}, pos),
+{name}_r AS (SELECT s.*, row_number() OVER (PARTITION BY {", ".join("s." + k for k in key.split(", "))} ORDER BY coalesce(score, 0) DESC, pos) AS r
+    FROM {name}_s s LEFT JOIN {name}_c USING ({key}, pos)),
+{name} AS (SELECT {", ".join("p." + k for k in key.split(", "))}, coalesce(string_agg(r.s, ' ' ORDER BY r.pos), '') AS s
+    FROM {source} p LEFT JOIN (SELECT * FROM {name}_r WHERE r <= 3) r USING ({key}) GROUP BY ALL)"""
+
+
+def _pack_sql(name: str, source: str, limit: int, overhead: str) -> str:
+    """``{name}(g, i, c, t, win)``: greedy windows over ``source(g, i, c, t)``, i = 1, 2, … in each g."""
+    return f"""
+{name}_w AS (SELECT g, i, 0 AS win, t AS used FROM {source} WHERE i = 1
+  UNION ALL SELECT d.g, d.i, CASE WHEN {overhead} + w.used + d.t > {limit} THEN w.win + 1 ELSE w.win END,
+                   CASE WHEN {overhead} + w.used + d.t > {limit} THEN d.t ELSE w.used + d.t END
+  FROM {name}_w w JOIN {source} d ON d.g = w.g AND d.i = w.i + 1),
+{name} AS (SELECT d.g, d.i, d.c, d.t, w.win FROM {source} d JOIN {name}_w w USING (g, i))"""
+
+
+def _tokens(x: str) -> str:
+    return SQL_TOKEN_COUNT.format(x=x)
+
+
+def recursive_sql(first: str) -> str:
+    """CTEs of the recursive summary over ``first(g, i, c, t)``; the result is ``done(g, summary, levels)``."""
+    ctes, ends, source = [], [], first
+    for j in range(1, SUMMARY_LEVELS + 1):
+        before = f"(SELECT g, count(*) AS nb FROM p{j - 1} GROUP BY g)" if j > 1 else "(SELECT g, NULL::BIGINT AS nb FROM d0 WHERE false)"
+        ctes.append(_pack_sql(f"p{j}", source, STUFF_LIMIT, f"({_OVERHEAD_SQL})"))
+        ctes.append(f"""
+q{j} AS (SELECT g, win, replace({_sql_str(STUFF_TEMPLATE)}, '{{text}}', string_agg(c, {NL2} ORDER BY i, c)) AS prompt FROM p{j} GROUP BY g, win)""")
+        ctes.append(_summaries_sql(f"s{j}", f"q{j}", STUFF_TEMPLATE, "g, win"))
+        ctes.append(f"""
+o{j} AS (SELECT p.g, (max(p.win) = 0 OR coalesce(count(*) >= any_value(b.nb), false)) AS over FROM p{j} p LEFT JOIN {before} b USING (g) GROUP BY p.g),
+d{j} AS (SELECT g, win + 1 AS i, s AS c, {_tokens('s')} AS t FROM s{j} JOIN o{j} USING (g) WHERE NOT over)""")
+        ends.append(f"SELECT g, string_agg(s, {NL2} ORDER BY win) AS summary, {j} AS levels FROM s{j} JOIN o{j} USING (g) WHERE over GROUP BY g")
+        source = f"d{j}"
+    return ",".join(ctes) + f""",
+done AS ({" UNION ALL ".join(ends)})"""
+
+
+_FIRST_SQL = f"d0 AS (SELECT lang AS g, i, pc AS c, t FROM (SELECT lang, {_PAGE_CONTENT_SQL} AS pc, {_tokens(_PAGE_CONTENT_SQL)} AS t, " \
+             "row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents))"
+
+
+@register("recursive_summary", sql=f"""
+WITH RECURSIVE {_FIRST_SQL}, {recursive_sql('d0')}
+SELECT g AS lang, summary, levels FROM done""")
 def q_recursive_summary(spark, sf_dir):
     """SUM-4 / GEN-1: per-language recursive summary with the default extractive generator."""
     p = _docs(spark, sf_dir)
     return recursive_summary(p, ["lang"], "doc_id", "page_content")
 
 
-@register("map_reduce_summary")
+def _map_reduce_sql() -> str:
+    ctes, source = [], "c0"
+    for j in range(1, SUMMARY_LEVELS + 1):
+        moved = f"NOT (count(*) = any_value(b.n) AND sum(x.t) = any_value(b.tok))" if j > 1 else "true"
+        before = f"LEFT JOIN (SELECT g, count(*) AS n, sum(t) AS tok FROM c{j - 2} GROUP BY g) b USING (g)" if j > 1 else ""
+        ctes.append(f"""
+t{j} AS (SELECT x.g, sum(x.t) > {REDUCE_TOKEN_MAX} AND count(*) > 1 AND coalesce({moved}, true) AS todo FROM {source} x {before} GROUP BY x.g),
+e{j} AS (SELECT * FROM {source} JOIN t{j} USING (g) WHERE todo)""")
+        ctes.append(_pack_sql(f"p{j}", f"e{j}", REDUCE_TOKEN_MAX, "0"))
+        ctes.append(f"""
+q{j} AS (SELECT g, win, replace({_sql_str(REDUCE_TEMPLATE)}, '{{doc_summaries}}', string_agg(c, {NL2} ORDER BY i, c)) AS prompt FROM p{j} GROUP BY g, win)""")
+        ctes.append(_summaries_sql(f"s{j}", f"q{j}", REDUCE_TEMPLATE, "g, win"))
+        ctes.append(f"""
+c{j} AS (SELECT g, i, c, t FROM {source} JOIN t{j} USING (g) WHERE NOT todo
+  UNION ALL SELECT g, win + 1, s, {_tokens('s')} FROM s{j})""")
+        source = f"c{j}"
+    return ",".join(ctes) + f""",
+qf AS (SELECT g, 0 AS win, count(*) AS n_docs, replace({_sql_str(REDUCE_TEMPLATE)}, '{{doc_summaries}}', string_agg(c, {NL2} ORDER BY i, c)) AS prompt
+       FROM {source} GROUP BY g),""" + _summaries_sql("sf", "qf", REDUCE_TEMPLATE, "g, win")
+
+
+@register("map_reduce_summary", sql=f"""
+WITH RECURSIVE p0 AS (
+  SELECT doc_id, lang, unnest(string_split(text, {NL2})) AS piece, unnest(range(1, len(string_split(text, {NL2})) + 1)) AS ord FROM documents),
+pr AS (SELECT doc_id, lang, piece, {_tokens('piece')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i
+  FROM (SELECT doc_id, lang, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS piece, ord FROM p0) WHERE piece <> ''),
+w AS (SELECT doc_id, i, 0 AS split_idx, t AS used FROM pr WHERE i = 1
+  UNION ALL SELECT pr.doc_id, pr.i, CASE WHEN w.used + pr.t > 1000 THEN w.split_idx + 1 ELSE w.split_idx END,
+                   CASE WHEN w.used + pr.t > 1000 THEN pr.t ELSE w.used + pr.t END FROM w JOIN pr ON pr.doc_id = w.doc_id AND pr.i = w.i + 1),
+ck AS (SELECT w.doc_id, w.split_idx, string_agg(pr.piece, {NL2} ORDER BY pr.i) AS chunk FROM w JOIN pr USING (doc_id, i) GROUP BY ALL),
+qm AS (SELECT d.lang AS g, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id, ck.split_idx) AS win,
+         replace({_sql_str(MAP_TEMPLATE)}, '{{docs}}', coalesce(ck.chunk, '')) AS prompt FROM documents d LEFT JOIN ck USING (doc_id)),
+{_summaries_sql('sm', 'qm', MAP_TEMPLATE, 'g, win')},
+c0 AS (SELECT g, win AS i, s AS c, {_tokens('s')} AS t FROM sm), {_map_reduce_sql()}
+SELECT sf.g AS lang, n_docs, sf.s AS summary FROM sf JOIN qf USING (g)""")
 def q_map_reduce_summary(spark, sf_dir):
     """SUM-5: chunk → map prompt → collapse ≤4000 tokens → reduce prompt, per language."""
     d = table(spark, sf_dir, "documents")
     return map_reduce_summary(d, ["lang"], "doc_id", "text")
 
 
-@register("cluster_digest")
+def _digest_sql() -> str:
+    return f"""
+{tfidf_sql('d', 'documents', 'doc_id', 'text')},
+cn AS (SELECT lang, list(m ORDER BY i) AS c FROM (SELECT lang, i, avg(e) AS m FROM (
+    SELECT lang, unnest(v) AS e, unnest(range(len(v))) AS i FROM d_v JOIN documents ON doc_id = d_v.id WHERE lang IS NOT NULL) GROUP BY ALL) GROUP BY lang),
+ds AS (SELECT d_v.id, cn.lang, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS distance FROM d_v, cn),
+cl AS (SELECT id AS doc_id, arg_min(lang, (distance, lang)) AS cluster FROM ds GROUP BY id HAVING min(distance) < 1.0),
+d0 AS (SELECT cluster AS g, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS i, pc AS c, t FROM (
+    SELECT doc_id, {_PAGE_CONTENT_SQL} AS pc, {_tokens(_PAGE_CONTENT_SQL)} AS t FROM documents) JOIN cl USING (doc_id))"""
+
+
+@register("cluster_digest", sql=f"""
+WITH RECURSIVE {_digest_sql()}, {recursive_sql('d0')}
+SELECT g AS cluster, summary, levels FROM done""")
 def q_cluster_digest(spark, sf_dir):
     """SUM-6: a summary of every cluster of the whole corpus.  Documents join the language centroid of
     their term vectors that is nearest; those far from all are noise (-1) and left out."""
     p = _docs(spark, sf_dir)
     idf = fit_hashed_terms(p, "doc_id", "text", 256)
-    v = cut_lineage(embed_hashed_terms(p, "doc_id", "text", idf, 256).join(p.select("doc_id", "lang"), "doc_id"))
+    v = cut_lineage(add_hashed_terms(p.select("doc_id", "lang", "text"), "text", idf, 256).drop("text"))
     a = assign_to_centroids(v, mean_vectors_by(v.where("lang IS NOT NULL"), "lang", "vector"), id_col="doc_id", vec_col="vector",
                             cid_col="lang")
     cluster = F.when(F.col("distance") < 1.0, F.col("cluster")).otherwise("-1")

@@ -41,7 +41,12 @@ def read_corpus_json(spark: SparkSession, path: str, multi_line: bool = False,
 def write_corpus_json(df: DataFrame, path: str, queries: list[str], snapshot_ts: str,
                       envelope_bytes: int = 8 << 20, mode: str = "append") -> None:
     """SNK-1: ``df`` has ``id, title, abstract, date, category`` (strings).  Envelopes hold about
-    ``envelope_bytes`` of text each."""
+    ``envelope_bytes`` of text each.  Of rows that repeat an id the last one stays (in the order of the
+    frame's partitions); a null id becomes the key ``null``, as JSON writes it."""
+    fields = ("title", "abstract", "date", "category")
+    df = df.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), *fields,
+                   F.monotonically_increasing_id().alias("_row")) \
+        .groupBy("id").agg(F.max_by(F.struct(*fields), "_row").alias("r")).select("id", "r.*")
     size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long")
                 for c in ("id", "title", "abstract", "date", "category")), F.lit(64).cast("long"))
     buckets = max(1, math.ceil((df.agg(F.sum(size)).first()[0] or 0) / envelope_bytes))

@@ -1,14 +1,11 @@
-"""Landed search pages (SRC-2, SRC-4, SRC-7, LIM-2, SET-1).
+"""Paged search (SRC-2, SRC-4, SRC-7, LIM-2, SET-1).
 
-Live search APIs are out of scope; what is read here are the pages an API
-returned, landed as NDJSON in folders ``query_idx=…/page=…``, each line an
-article with ``total_results``.  ``record_search_pages`` lands such pages from
-an article table (all named queries in one scan; only the ``max_results`` best
-per query are kept, a partial WindowGroupLimit, plus a per-query count).
+``paged_search`` answers named searches over an article table in one scan: the ``max_results`` newest matches of
+each (a ranked window that Spark limits before the exchange), with their page and the search's total.
 
-``read_search_pages`` is Spark's own JSON source over those folders: any store
-that Spark reads, partition pruning on query and page, and every predicate the
-caller adds.  The paging rule is a column expression: the first page is always
+``read_search_pages`` reads pages that a search API returned, landed as NDJSON in folders
+``query_idx=…/page=…``, through Spark's own JSON source: any store that Spark reads, partition pruning on query
+and page, and every predicate the caller adds.  The paging rule is a column expression: the first page is always
 read; page p is read while ``p * size <= max_results``, up to the last page.
 """
 
@@ -23,27 +20,21 @@ SCHEMA = ("query_idx int, query string, page int, pos int, total_results long, i
           "title string, source string, lang string, country string, published_at string")
 
 
-def record_search_pages(articles: DataFrame, fields: dict, queries: dict, id_col: str, order_col: str,
-                        out_dir: str, page_size: int = 20, max_results: int = 100,
-                        select: dict | None = None, descending: bool = True) -> None:
-    """Write the pages the API would return for each named query: matches
-    ordered by ``order_col`` (newest first by default, ties by id), at most
-    ``max_results`` per query, with the query's total match count."""
+def paged_search(articles: DataFrame, fields: dict, queries: dict, id_col: str, order_col: str, *, page_size: int = 20,
+                 max_results: int = 100, keep: tuple[str, ...] = (), descending: bool = True) -> DataFrame:
+    """``(query_idx, query, page, pos, total_results, id, <keep>)``: matches of each named query ordered by
+    ``order_col`` (newest first by default, ties by id), at most ``max_results`` of each."""
     names = list(queries)
     hits = keyword_search(articles, fields, queries, id_col).select("query_id", id_col)
     totals = hits.groupBy("query_id").agg(F.count("*").alias("total_results"))
-    sel = select or {}
-    keep = [id_col] + ([order_col] if order_col != id_col else [])
-    art = articles.select(*keep, *[F.col(v).cast("string").alias(k) for k, v in sel.items()])
-    o = F.desc(order_col) if descending else F.asc(order_col)
-    w = Window.partitionBy("query_id").orderBy(o, F.col(id_col))
-    top = hits.join(art, id_col).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max_results)
-    qidx = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("query_id")) - 1
-    out = top.join(totals, "query_id").select(
-        qidx.cast("int").alias("query_idx"), F.col("query_id").alias("query"),
-        F.ceil(F.col("pos") / page_size).cast("int").alias("page"), "pos", "total_results",
-        F.col(id_col).cast("string").alias("id"), *[F.col(k) for k in sel])
-    out.write.mode("overwrite").partitionBy("query_idx", "page").json(out_dir)
+    cols = [id_col, *[c for c in dict.fromkeys((order_col, *keep)) if c != id_col]]
+    order = F.col(order_col).desc_nulls_last() if descending else F.col(order_col).asc_nulls_last()
+    w = Window.partitionBy("query_id").orderBy(order, F.col(id_col))
+    top = hits.join(articles.select(*cols), id_col).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max_results)
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("query_id")) - 1
+    return top.join(totals, "query_id").select(
+        at.cast("int").alias("query_idx"), F.col("query_id").alias("query"), F.ceil(F.col("pos") / page_size).cast("int").alias("page"),
+        "pos", "total_results", F.col(id_col).alias("id"), *keep)
 
 
 def read_search_pages(spark: SparkSession, path: str, *, page_size: int = 20, max_results: int = 100,

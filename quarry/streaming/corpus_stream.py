@@ -55,17 +55,19 @@ def _utc(spark: SparkSession):
 
 
 def run_available_now(result: DataFrame, name: str, output_mode: str = "append",
-                      timeout_s: int = 600) -> DataFrame:
+                      timeout_s: int | None = None) -> DataFrame:
     """Process everything available, write it to a parquet sink in the shared
-    checkpoint folder, and return the sink as a batch DataFrame."""
+    checkpoint folder, and return the sink as a batch DataFrame.  There is no
+    limit of time unless the caller sets one."""
     spark = result.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/quarry-stream/{name}-{uuid.uuid4().hex[:12]}"
     with _utc(spark):
         q = (result.writeStream.format("parquet").outputMode(output_mode)
              .option("checkpointLocation", base + "/_checkpoint").option("path", base + "/out")
              .trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
-        if q.isActive:
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             q.stop()
             raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
         if q.exception():

@@ -40,7 +40,7 @@ def test_params_table(spark):
 
 
 def test_embedder_registry_and_benchmark_types(spark):
-    from quarry.operators.embed import get_embedder
+    from quarry.operators.embedders import get_embedder
     from quarry.operators.pipelines import run_benchmark
     with pytest.raises(ValueError):
         get_embedder("no such embedder")

@@ -1,16 +1,18 @@
 """Chunking, packing, tokens and templates (FIXTURES §3-4, SURVEY card A7/A8)."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions.dates import parse_period
 from quarry.functions.text import fill_template
-from quarry.operators.chunking import recursive_split, window_chunks
-from quarry.operators.summarize import extractive_summary
+from quarry.operators.chunking import recursive_chunks, window_chunks
+from quarry.operators.pipelines import register_splitter_udtf, split_text
+from quarry.operators.summarize import Extractive, generate_column
 
 
 def test_window_chunk_counts(spark):
@@ -21,7 +23,7 @@ def test_window_chunk_counts(spark):
 
 def _check_chunks(text, chunks):
     assert all(0 < len(c) <= 600 for c in chunks)
-    if len(text.strip()) <= 600 and text.strip():
+    if len(text) <= 600 and text.strip():
         assert chunks == [text.strip()]
     joined = "".join(chunks)
     # every non-space character of the input appears, in order
@@ -29,18 +31,27 @@ def _check_chunks(text, chunks):
     assert all(any(ch == x for x in it) for ch in text if not ch.isspace())
 
 
-def test_recursive_levels():
-    para = "Word " * 150
-    text = para + "\n\n" + ("line of text\n" * 80) + "\n\n" + "y" * 1500
-    chunks = recursive_split(text)
-    _check_chunks(text, chunks)
-    assert any(c == "y" * 600 for c in chunks)
+def test_recursive_chunks_native_against_the_row_helper(spark):
+    rng = random.Random(5)
+    texts = ["Word " * 150 + "\n\n" + ("line of text\n" * 80) + "\n\n" + "y" * 1500, "", " \n ", "a", None, "x" * 600, "x" * 601, "\n\n" * 400,
+             "é" * 700 + " " + "z" * 20, "a.b*c\n\n[d]" * 100]
+    texts += ["".join(rng.choice("ab  \n" if i % 2 else "abcdefgh \n") * rng.choice([1, 1, 1, 40]) for _ in range(rng.randrange(600))) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    for size, overlap in ((600, 100), (20, 5), (7, 0)):
+        got = {r["i"]: r["c"] for r in df.select("i", recursive_chunks("t", size, overlap).alias("c")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == split_text(t or "", size, overlap), (size, i)
+    for i, t in enumerate(texts):
+        _check_chunks(t or "", split_text(t or ""))
+    assert "y" * 600 in split_text(texts[0])
+    plan = df.select(recursive_chunks("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab \n")), max_size=3000))
-def test_recursive_properties(text):
-    _check_chunks(text, recursive_split(text))
+def test_splitter_table_function(spark):
+    register_splitter_udtf(spark)
+    got = spark.sql("SELECT * FROM split_text('aa bb cc dd', 5, 3) ORDER BY split_idx").collect()
+    assert [tuple(r) for r in got] == list(enumerate(split_text("aa bb cc dd", 5, 3))) and len(got) > 1
 
 
 @pytest.mark.parametrize("p,ok", [("30d", 30), ("0d", 0), ("30", None), ("d", None), ("1w", None), ("-5d", None)])
@@ -57,11 +68,26 @@ def test_template_placeholders_checked_at_plan_time():
         fill_template("Q: {question}", context=F.lit("x"))
 
 
-def test_extractive_summary_is_shorter_and_deterministic():
-    random.seed(1)
-    text = " ".join(f"Sentence {i} talks about topic {i % 3}." for i in range(20))
-    s = extractive_summary(text)
-    assert len(s) < len(text) and s == extractive_summary(text)
+def sentences_of(prompt, most=3, budget=None):
+    """The default summary of one prompt, in Python."""
+    sents = [x for x in (x.strip(" \t\n\r\f") for x in re.sub(r"([.!?])[ \t\n\r\f]+", "\\1\n", prompt or "").split("\n")) if x]
+    words = [Counter(re.findall(r"[^\W_]+", s.lower())) for s in sents]
+    df = Counter(w for c in words for w in c)
+    score = [round(sum(n * math.log(len(sents) / df[w]) for w, n in c.items()), 9) for c in words]
+    best = sorted(sorted(range(len(sents)), key=lambda i: (-score[i], i))[:most])
+    return " ".join(" ".join(sents[i] for i in best).split(" ")[:budget])
+
+
+def test_extractive_summaries_against_python(spark):
+    rng = random.Random(2)
+    prompts = [" ".join(f"Sentence {i} talks about topic {rng.randrange(5)}{rng.choice('.!?')}" + rng.choice([" ", "\n", "  "]) for i in range(n))
+               for n in (0, 1, 2, 3, 4, 20, 60)] + [None, "", "...", "No end", "A. a. A. b. A.", "3.14 is pi. 2.71 is e.\n\nx\ty"]
+    df = spark.createDataFrame([(i, "k", p) for i, p in enumerate(prompts)] + [(0, "k", prompts[6])], "i int, n string, prompt string")
+    got = generate_column(df, "prompt").collect()
+    assert sorted((r["i"], r["generated"]) for r in got) == sorted([(i, sentences_of(p)) for i, p in enumerate(prompts)] + [(0, sentences_of(prompts[6]))])
+    few = generate_column(df, "prompt", Extractive("{x} talks about {y}", max_sentences=2, max_words=4), "s").collect()
+    assert all(len(r["s"].split(" ")) <= 4 and "talks" not in r["s"] for r in few)
+    assert generate_column(df.where("false"), "prompt").count() == 0
 
 
 def _check_greedy(rows, limit, overhead, sep):
@@ -124,10 +150,32 @@ def test_summaries_terminate_one_row_per_group(spark):
     assert {r["lang"] for r in rs} == langs and all(r["levels"] <= 20 for r in rs)
 
 
-def test_extractive_budget_is_the_callers():
-    text = "word " * 5000
-    assert len(extractive_summary(text).split(" ")) == 5000
-    assert len(extractive_summary(text, max_words=250).split(" ")) == 250
+def test_summaries_take_text_keys_and_any_counter(spark):
+    from quarry.operators.chunking import chunk
+    from quarry.operators.summarize import map_reduce_summary, pack_windows, recursive_summary
+    words = F.pandas_udf(lambda s: s.str.count(r"[^\W\d_]+|\d+|[^\s\w]|_").astype("int32"), "int")
+    rows = [(f"http://a/{i:03d}", "g", " ".join(f"w{j} x{i * j % 7}." for j in range(i % 40))) for i in range(60)] + [(None, "g", None)]
+    d = spark.createDataFrame(rows, "o string, g string, c string")
+    for counter in ("regex", words):
+        rs = recursive_summary(d, ["g"], "o", "c", limit=120, template="{text}", mode=counter).collect()
+        mr = map_reduce_summary(d, ["g"], "o", "c", chunk_tokens=40, token_max=90, mode=counter).collect()
+        assert len(rs) == len(mr) == 1 and rs[0]["summary"] and mr[0]["summary"]
+        if counter == "regex":
+            want = rs[0]["summary"], mr[0]["summary"]
+    assert (rs[0]["summary"], mr[0]["summary"]) == want                        # the same counts, the same result
+    big = spark.createDataFrame([(2 ** 60 + i, "g", f"one two three {i}.") for i in range(9)], "o long, g string, c string")
+    assert map_reduce_summary(big, ["g"], "o", "c", token_max=12).count() == 1
+    t = d.select("o", "g", F.col("c"))
+    packed = {}
+    for counter in ("regex", words):
+        from quarry.functions.text import token_count
+        p = pack_windows(t.withColumn("n", token_count("c", counter)), ["g"], "o", "n", 100)
+        packed[str(counter)] = sorted((str(r["o"]), r["window"]) for r in p.collect())
+    assert len(set(map(str, packed.values()))) == 1
+    text = spark.createDataFrame([(1, "a b\n\nc d e\n\n\n f"), (1, None), (2, "")], "k int, t string")
+    a = chunk(text, "t", "k", mode="tokens", max_tokens=3).select("k", "split_idx", "chunk")
+    b = chunk(text, "t", "k", mode="tokens", max_tokens=3, counter=words).select("k", "split_idx", "chunk")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_every_group_is_summarised_even_without_progress(spark):
