@@ -37,7 +37,7 @@ from quarry.operators.relational import skew_join
 from quarry.session import cut_lineage, drop_lineage
 
 MIN_COUNT, MAX_WORDS, TOP, SEED = 10, 3, 2000, 1
-BLOCK, CHUNK_WORDS, BITMAP_BITS = 1 << 20, 1_500_000, 27
+BLOCK, CHUNK_WORDS, BITMAP_BITS = 1 << 20, 1_500_000, 26
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[list(SEPARATORS)] = True
@@ -226,9 +226,9 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     """One bit per hash range for the fingerprints in ``fp``: a filter of fixed size that never misses one."""
     at = F.col("fp").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     rows = grams.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(
-        f"shiftleft(1L, CAST((fp & {(1 << BITMAP_BITS) - 1}L) & 63L AS INT))")).alias("w")).toPandas()
+        f"shiftleft(1L, CAST((fp & {(1 << BITMAP_BITS) - 1}L) & 63L AS INT))")).alias("w")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[rows["i"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64)
+    out[rows["i"].to_numpy()] = rows["w"].to_numpy()
     return out.view(np.uint64)
 
 
