@@ -13,10 +13,8 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle_or_is_known_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only <= {"chunk_recursive", "recursive_summary", "map_reduce_summary", "cluster_digest",
-                         "index_pages", "rag_answer", "ivf_search", "kmeans_labels",
-                         "umap_2d", "clustering_pipeline", "fuzzy_membership",
-                         "projection_grid", "benchmark_scores"}
+    assert rows_only <= {"index_pages", "rag_answer", "umap_2d", "clustering_pipeline", "fuzzy_membership",
+                         "projection_grid", "benchmark_scores", "hdbscan_labels", "hdbscan_grid", "neighbour_graph"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
