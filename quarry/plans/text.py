@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import urls as U
 from quarry.functions.text import regex_token_count, template_overhead
 from quarry.operators import relational as R
-from quarry.operators.chunking import chunk, recursive_chunks, token_chunks, window_chunks
+from quarry.operators.chunking import chunk, recursive_chunks, token_chunks
 from quarry.operators.cluster import assign_to_centroids
 from quarry.operators.embed import add_hashed_terms, fit_hashed_terms
 from quarry.operators.extract import extract_articles, page_links
@@ -102,7 +102,7 @@ def _level_sql(segs: str, sep: str) -> str:
     return f"flatten(list_transform({segs}, lambda x: CASE WHEN x.s IS NOT NULL AND contains(x.s, {q}) THEN {cut} ELSE [x] END))"
 
 
-_RECURSIVE_SQL = f"""
+_RECURSIVE_SQL = rf"""
 WITH l0 AS (SELECT doc_id, text, [{{'s': text, 'n': length(text)::BIGINT, 'f': true}}] AS g FROM documents WHERE text <> ''),
 l1 AS (SELECT doc_id, text, {_level_sql('g', chr(10) * 2)} AS g FROM l0),
 l2 AS (SELECT doc_id, text, {_level_sql('g', chr(10))} AS g FROM l1),
@@ -311,7 +311,7 @@ def _summaries_sql(name: str, source: str, template: str, key: str) -> str:
     body = "prompt"
     for part in extractive_generator(template).fixed:
         body = f"replace({body}, {_sql_str(part)}, chr(10))"
-    return f"""
+    return rf"""
 {name}_s AS (SELECT {key}, len(s) AS n, unnest(s) AS s, unnest(range(len(s))) AS pos FROM (
     SELECT {key}, list_filter(list_transform(string_split(regexp_replace({body}, '([.!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10)),
       lambda x: regexp_replace(x, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')), lambda x: x <> '') AS s FROM {source})),
@@ -391,7 +391,7 @@ qf AS (SELECT g, 0 AS win, count(*) AS n_docs, replace({_sql_str(REDUCE_TEMPLATE
        FROM {source} GROUP BY g),""" + _summaries_sql("sf", "qf", REDUCE_TEMPLATE, "g, win")
 
 
-@register("map_reduce_summary", sql=f"""
+@register("map_reduce_summary", sql=rf"""
 WITH RECURSIVE p0 AS (
   SELECT doc_id, lang, unnest(string_split(text, {NL2})) AS piece, unnest(range(1, len(string_split(text, {NL2})) + 1)) AS ord FROM documents),
 pr AS (SELECT doc_id, lang, piece, {_tokens('piece')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i
