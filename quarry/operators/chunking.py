@@ -115,9 +115,10 @@ def recursive_leaves(text, size: int = CHUNK_SIZE, separators=RECURSIVE_SEPARATO
                 return F.when(x["s"].isNotNull(), F.when(x["n"] > 0, letters).otherwise(F.array().cast(_LEAF))).otherwise(F.array(x))
             parts = F.filter(F.transform(F.split(x["s"], re.escape(sep), -1),
                                          lambda p, i: F.when(i > 0, F.concat(F.lit(sep), p)).otherwise(p)), lambda p: p != "")
-            pieces = F.transform(parts, lambda p, i: F.struct(
+            # the list of parts is bound once (an array of one list), so that a part can look at the one before it
+            pieces = F.flatten(F.transform(F.array(parts), lambda ps: F.transform(ps, lambda p, i: F.struct(
                 F.when(F.length(p) >= size, p).alias("s"), F.length(p).alias("n"),
-                ((i == 0) | (F.length(F.get(parts, i - 1)) >= size)).alias("first")))
+                ((i == 0) | (F.length(F.get(ps, i - 1)) >= size)).alias("first")))))
             return F.when(x["s"].contains(sep), pieces).otherwise(F.array(x))
         level = F.flatten(F.transform(level, cut))
     return level
