@@ -40,9 +40,10 @@ def regex_token_count(text) -> Column:
 
 def token_count(text, mode="regex") -> Column:
     """FN-7 / FN-8 / UDF-4: tokens of a text.  ``mode`` is ``ws``, ``regex`` or the caller's counter, a function of a
-    column that gives an integer column (built-in expressions or a pandas UDF around a tokenizer)."""
+    column that gives an integer column (built-in expressions or a pandas UDF around a tokenizer); it gets null texts
+    as empty ones."""
     if callable(mode):
-        return mode(_c(text)).cast("int")
+        return mode(F.coalesce(_c(text), F.lit(""))).cast("int")
     if mode == "ws":
         return ws_token_count(text)
     if mode == "regex":
