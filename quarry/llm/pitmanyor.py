@@ -13,10 +13,13 @@ parameters.
 * Tokens are shuffled once, packed, to the group that holds their word's part of the hash space (words of more
   than a share of a sample of the tokens, and the end token, are spread over all groups by word and context), and
   stored there as dishes (u, w, c) and document references, one row per group, bucketed by group.
-* A round seats every dish's customers (``Seating``: single customers leave and are seated again by the
-  Chinese-restaurant probabilities), then the parent's restaurant, ``sweeps`` times; tables are averaged after the
-  first sweep.  Contexts spread over groups, so their numbers of tables T_u are exchanged between rounds (each group
-  asks the owner of the context's range; there is one owner for every ``OWNED`` groups) and stay fixed within a round, as K and S do.
+* A round makes ``sweeps`` sweeps (``gibbs``): every customer of every dish leaves and is seated again by the
+  Chinese-restaurant probabilities (``Seating``), tables that close and open take their customers out of and into the
+  parent's restaurant (``Parent``), whose customers then move too.  The next round goes on from these seatings;
+  tables are averaged after a round's first sweep, and the last round's averages are used.  Customers move
+  one at a time, but those of a word with more than ``STEPS`` in ``STEPS`` parts, in the parent's restaurant ``PARTS``.  Contexts spread over
+  groups, so their numbers of tables T_u are exchanged between rounds (each group asks the owner of the context's range;
+  there is one owner for every ``OWNED`` groups) and stay fixed within a round, as K and S do.
 * Scores use the averaged seating, whose T, K and S are summed once more, so that P(.|u) sums to 1.  A token's
   probability splits into a factor of its context and one of (context, word), hence a group scores its tokens
   alone and sends one partial sum per document.
@@ -46,7 +49,8 @@ from quarry.llm.polyhash import Polynomial
 from quarry.llm.shingles import _SPACE, mix
 from quarry.session import cut_lineage, drop_lineage, drop_path, scratch_path
 
-STRENGTH, ROUNDS, SWEEPS, MOVES, SEED = 1.0, 2, 3, 3, 11
+STRENGTH, ROUNDS, SWEEPS, MOVES, SEED = 1.0, 2, 3, 1, 11
+STEPS, PARTS, FEW = 64, 12, 8
 BLOCK, CHUNK_TOKENS, SAMPLE, OWNED = 1 << 20, 1_500_000, 64, 8
 START, END = np.uint64(0x5354415254000000), np.uint64(0xE4D0000000000000)
 _POLY = Polynomial(5)
@@ -274,55 +278,238 @@ def _answer(groups: int):
 
 # -- seating ------------------------------------------------------------------------------------------------
 
+def _random_start(c: np.ndarray, new: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables and their sizes, dish after dish, to start the sampler from (any seating would do)."""
+    t = np.minimum(1 + rng.poisson(new * np.log1p((c - 1) / new)), c).astype(np.int64)
+    if not t.size:
+        return t, t
+    at = np.cumsum(t) - t
+    share = rng.exponential(size=int(t.sum()))
+    share /= np.repeat(np.add.reduceat(share, at), t)
+    size = 1 + np.floor(share * np.repeat(c - t, t)).astype(np.int64)
+    size[at] += c - np.add.reduceat(size, at)
+    return t, size
+
+
 class Seating:
-    """Tables of dishes with ``c >= 1`` customers each; single customers move by Gibbs steps.
-
-    ``new`` is a dish's weight for a new table, (strength + discount * tables of the restaurant) * P(dish)."""
-
-    def __init__(self, c: np.ndarray, new: np.ndarray, discount: float, moves: int, rng: np.random.Generator):
-        self.c, self.d, self.rng = c.astype(np.int64), discount, rng
-        self.t = np.minimum(1 + rng.poisson(new * np.log1p((c - 1) / new)), c).astype(np.int64)
-        room = np.minimum(self.c, self.t + moves)
-        self.off = np.cumsum(room) - room
-        self.size = np.zeros(int(room.sum()), np.int64)
-        slot = np.arange(self.size.size) - np.repeat(self.off, room)
-        live = slot < np.repeat(self.t, room)
-        share = np.where(live, rng.exponential(size=self.size.size), 0.0)
-        if self.size.size:
-            share /= np.repeat(np.add.reduceat(share, self.off), room)
-        self.size[live] = 1
-        self.size += np.floor(share * np.repeat(self.c - self.t, room)).astype(np.int64)
-        if self.size.size:
-            self.size[self.off] += self.c - np.add.reduceat(self.size, self.off)
-        self.end = self.off + room
-
-    def _pick(self, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A slot of each dish in ``at``, drawn by weight (each of these dishes has some)."""
-        upto = np.cumsum(weight)
-        base = np.where(self.off[at] > 0, upto[self.off[at] - 1], 0.0)
-        mass = upto[self.end[at] - 1] - base
-        slot = np.searchsorted(upto, base + self.rng.random(at.size) * mass, "right")
-        slot = np.clip(slot, self.off[at], self.end[at] - 1)
-        for j in np.flatnonzero(weight[slot] <= 0):            # rounding at the edge of a slot
-            slot[j] = self.off[at[j]] + weight[self.off[at[j]]:self.end[at[j]]].argmax()
-        return slot
+    """Tables of dishes with ``c >= 1`` customers each, every customer with its table; customers move by Gibbs steps.
+
+    ``new`` is a dish's weight for a new table, (strength + discount * tables of the restaurant) * P(dish).  A pass
+    (``turns``) takes every customer once, in at most ``steps`` steps: a step takes one customer of every label (a word,
+    whose dishes share a place in the parent's restaurant), and of a label with more than ``steps`` customers every
+    ``steps``-th; those that move together do not see each other's new seats."""
+
+    def __init__(self, c: np.ndarray, new: np.ndarray | None, discount: float, steps: int, rng: np.random.Generator,
+                 start: tuple[np.ndarray, np.ndarray] | None = None):
+        self.c, self.d, self.steps, self.rng = c.astype(np.int64), discount, steps, rng
+        t, sizes = _random_start(self.c, new, rng) if start is None else start
+        self.t = t.astype(np.int64)
+        self.off = np.cumsum(self.c) - self.c
+        n = int(self.c.sum())
+        slot = np.arange(n) - np.repeat(self.off, self.c)
+        self.size = np.zeros(n, np.int32)
+        tables = np.flatnonzero(slot < np.repeat(self.t, self.c))
+        self.size[tables] = sizes
+        self.free = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)       # a dish's free tables lie from its t-th place on
+        self.seat = np.repeat(tables, sizes).astype(self.free.dtype)
+
+    def sizes(self) -> np.ndarray:
+        """Sizes of the occupied tables, dish after dish."""
+        return self.size[self.size > 0]
+
+    def turns(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(customers, their dishes) of the steps of a pass; dishes of a label lie together."""
+        dish = np.repeat(np.arange(self.c.size, dtype=np.int32), self.c)
+        begin = self.off[np.flatnonzero(np.diff(label, prepend=label[:1] - 1))]
+        step = (np.arange(dish.size) - np.repeat(begin, np.diff(np.append(begin, dish.size)))) % self.steps
+        order = np.argsort(step.astype(np.int16 if self.steps < 1 << 15 else np.int64), kind="stable")
+        edge = np.append(0, np.cumsum(np.bincount(step)))
+        del step
+        for a, z in zip(edge[:-1], edge[1:]):
+            yield order[a:z], dish[order[a:z]]
+
+    def leave(self, at: np.ndarray, dish: np.ndarray) -> np.ndarray:
+        """The customers stand up; returns the dishes of the tables that closed."""
+        left = self.seat[at]
+        np.subtract.at(self.size, left, 1)
+        self.seat[at] = -1
+        shut = np.flatnonzero(self.size[left] == 0)
+        if not shut.size:
+            return shut
+        table, first = np.unique(left[shut], return_index=True)              # tables lie dish after dish
+        of = dish[shut[first]]
+        which, begin, count = np.unique(of, return_index=True, return_counts=True)
+        self.t[which] -= count
+        self.free[np.repeat(self.off[which] + self.t[which] - begin, count) + np.arange(of.size)] = table
+        return of
+
+    def join(self, at: np.ndarray, dish: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Standing customers sit down, ``new`` the weight of a new table for each; returns the dishes of the new tables."""
+        up = np.bincount(dish, minlength=self.c.size)[dish] if at.size and self.c[dish].max() > self.steps else 1
+        seated = self.c[dish] - up - self.d * self.t[dish]
+        opens = self.rng.random(at.size) * (seated + new) < new
+        opens |= self.t[dish] == 0
+        wait, sat = np.flatnonzero(~opens), np.empty(at.size, self.seat.dtype)
+        begin, span = self.off[dish], self.c[dish]
+        for tries in range(99):     # a random seated customer's table, taken with 1 - d / size, is one by weight size - d
+            if not wait.size or tries > 1 and span[wait].sum() < 1 << 20:
+                break
+            pick = self.seat[begin[wait] + (self.rng.random(wait.size) * span[wait]).astype(np.int64)]
+            took = (pick >= 0) & (self.rng.random(wait.size) * self.size[pick] >= self.d)
+            sat[wait[took]] = pick[took]
+            wait = wait[~took]
+        if wait.size:               # the rest choose from all seated customers, by the weight 1 - d / size
+            count = span[wait]
+            end = np.cumsum(count)
+            pick = self.seat[np.arange(end[-1]) + np.repeat(begin[wait] - end + count, count)]
+            weight = np.where(pick >= 0, 1 - self.d / np.maximum(self.size[pick], 1), 0.0)
+            upto = np.cumsum(weight)
+            low = np.append(0.0, upto[end[:-1] - 1])
+            one = np.searchsorted(upto, low + self.rng.random(wait.size) * (upto[end - 1] - low), "right")
+            one = np.clip(one, end - count, end - 1)
+            for j in np.flatnonzero(weight[one] <= 0):             # rounding at the edge of a customer
+                one[j] = end[j] - count[j] + weight[end[j] - count[j]:end[j]].argmax()
+            sat[wait] = pick[one]
+        put = np.flatnonzero(opens)
+        of = dish[put]
+        if put.size:
+            by = np.argsort(of, kind="stable")
+            which, begin, count = np.unique(of[by], return_index=True, return_counts=True)
+            sat[put[by]] = self.free[np.repeat(self.off[which] + self.t[which] - begin, count) + np.arange(of.size)]
+            self.t[which] += count
+        self.seat[at] = sat
+        np.add.at(self.size, sat, 1)
+        return of
 
     def move(self, new: np.ndarray) -> None:
         """One random customer of every dish leaves and is seated again."""
-        every = np.arange(self.c.size)
-        left = self._pick(self.size.astype(np.float64), every)
-        self.size[left] -= 1
-        closed = self.size[left] == 0
-        self.t -= closed
-        join = self.c - 1 - self.d * self.t
-        opens = self.rng.random(self.c.size) * (join + new) < new
-        seats = np.flatnonzero(~opens)
-        target = self._pick(np.where(self.size > 0, self.size - self.d, 0.0), seats)
-        free = np.flatnonzero(opens & ~closed)
-        chosen = np.concatenate([left[opens & closed], self._pick((self.size == 0).astype(np.float64), free)])
-        self.size[target] += 1
-        self.size[chosen] = 1
-        self.t += opens
+        dish = np.arange(self.c.size)
+        at = self.off + (self.rng.random(self.c.size) * self.c).astype(np.int64)
+        self.leave(at, dish)
+        self.join(at, dish, new)
+
+
+class Parent:
+    """Tables of the parent's restaurant: a row of sizes per word.  Its customers, the tables of the contexts, come and
+    go; those that come at once take the urn's places in turn, except that they do not see each other's new tables."""
+
+    def __init__(self, customers: np.ndarray, base: float, discount: float, rng: np.random.Generator,
+                 start: tuple[np.ndarray, np.ndarray] | None = None):
+        self.k, self.base, self.d, self.rng = customers.astype(np.int64), base, discount, rng
+        some = np.flatnonzero(self.k > 0)
+        t, sizes = start if start is not None else _random_start(self.k[some], np.full(some.size, base), rng)
+        self.s = np.zeros(self.k.size, np.int64)
+        self.s[some] = t
+        self.upto = np.maximum(self.s, 1)                       # no table of the word lies at this place or after it
+        self.size = np.zeros((self.k.size, max(4, int(self.s.max(initial=0)) + 2)), np.int64)
+        self.size[np.repeat(some, t), np.arange(sizes.size) - np.repeat(np.cumsum(t) - t, t)] = sizes
+
+    def width(self, w: np.ndarray) -> int:
+        return int(self.upto[w].max(initial=1))
+
+    def _pick(self, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(weight, 1)
+        at = (upto <= (self.rng.random(len(rows)) * upto[:, -1])[:, None]).sum(1)
+        odd = np.flatnonzero(np.minimum(at, rows.shape[1] - 1) != at)        # rounding at the edge of the last table
+        at[odd] = weight[odd].argmax(1)
+        return at
+
+    def leave(self, w: np.ndarray, m: np.ndarray) -> None:
+        """``m`` random customers of each of the words ``w`` (all different) leave."""
+        if m.max(initial=0) > FEW:
+            self._leave_many(w[m > FEW], m[m > FEW])
+            w, m = w[m <= FEW], m[m <= FEW]
+        while w.size:
+            rows = self.size[w, :self.width(w)]
+            at = self._pick(rows, rows)
+            self.size[w, at] -= 1
+            self.s[w] -= rows[np.arange(w.size), at] == 1
+            self.k[w] -= 1
+            w, m = w[m > 1], m[m > 1] - 1
+
+    def _leave_many(self, w: np.ndarray, m: np.ndarray) -> None:
+        rows, rest, left = self.size[w, :self.width(w)], self.k[w].copy(), m.copy()
+        for j in range(rows.shape[1]):
+            if not left.any():
+                break
+            rest -= rows[:, j]
+            gone = self.rng.hypergeometric(rows[:, j], rest, left)
+            rows[:, j] -= gone
+            left = left - gone
+        self.size[w, :rows.shape[1]] = rows
+        self.s[w] = (rows > 0).sum(1)
+        self.k[w] -= m
+
+    def join(self, w: np.ndarray, m: np.ndarray) -> None:
+        """``m`` customers of each of the words ``w`` (all different) sit down."""
+        if m.max(initial=0) > FEW:
+            self._join_many(w[m > FEW], m[m > FEW])
+            w, m = w[m <= FEW], m[m <= FEW]
+        while w.size:
+            seated = self.k[w] - self.d * self.s[w]
+            opens = (self.rng.random(w.size) * (seated + self.base) < self.base) | (self.k[w] == 0)
+            old = w[~opens]
+            rows = self.size[old, :self.width(old)]
+            self.size[old, self._pick(rows, np.where(rows > 0, rows - self.d, 0.0))] += 1
+            self._open(w[opens], np.ones(int(opens.sum()), np.int64))
+            self.k[w] += 1
+            w, m = w[m > 1], m[m > 1] - 1
+
+    def _join_many(self, w: np.ndarray, m: np.ndarray) -> None:
+        first = self.k[w] == 0
+        if first.any():
+            self._open(w[first], np.ones(int(first.sum()), np.int64))
+            self.k[w[first]] += 1
+            m = m - first
+        seated = self.k[w] - self.d * self.s[w]
+        opens = self.rng.binomial(m, self.base / (seated + self.base))
+        rows, left, weight = self.size[w, :self.width(w)], m - opens, seated
+        final = rows.shape[1] - 1 - (rows[:, ::-1] > 0).argmax(1)
+        for j in range(rows.shape[1]):
+            if not left.any():
+                break
+            mine = np.where(rows[:, j] > 0, rows[:, j] - self.d, 0.0)
+            weight = np.maximum(weight - mine, 0.0)
+            share = np.where(final <= j, 1.0, self.rng.beta(np.maximum(mine, 1e-9), np.maximum(weight, 1e-9)))
+            add = self.rng.binomial(left, np.where(mine > 0, share, 0.0))
+            rows[:, j] += add
+            left = left - add
+        self.size[w, :rows.shape[1]] = rows
+        self.k[w] += m
+        self._open(w[opens > 0], opens[opens > 0])
+
+    def _open(self, w: np.ndarray, m: np.ndarray) -> None:
+        while w.size:
+            if self.s[w].max() == self.size.shape[1]:
+                self.size = np.concatenate([self.size, np.zeros_like(self.size)], 1)
+            at = (self.size[w] == 0).argmax(1)
+            self.size[w, at] = 1
+            self.upto[w] = np.maximum(self.upto[w], at + 1)
+            self.s[w] += 1
+            w, m = w[m > 1], m[m > 1] - 1
+
+    def turn(self, steps: int) -> None:
+        """As many random customers of every word as it has leave and sit down again, in at most ``steps`` parts."""
+        total = self.k.copy()
+        order = np.argsort(-total, kind="stable")
+        by = total[order]
+        for i in range(min(steps, int(total.max(initial=0)))):
+            w = order[:np.searchsorted(-by, -i, "left")]
+            m = np.where(total[w] > steps, total[w] * (i + 1) // steps - total[w] * i // steps, 1)
+            wide = self.upto[w] > 4
+            for part in (wide, ~wide):
+                self.leave(w[part], m[part])
+                self.join(w[part], m[part])
+
+    def follow(self, customers: np.ndarray) -> None:
+        """Customers come or go until each word has the given number."""
+        change = customers.astype(np.int64) - self.k
+        less, more = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
+        self.leave(less, -change[less])
+        self.join(more, change[more])
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.s[self.k > 0], self.size[self.size > 0]
 
 
 class Totals:
@@ -350,43 +537,65 @@ def _tables_of(us: np.ndarray, replies: pd.DataFrame, hot: np.ndarray, totals: T
     return np.where(contexts[at] == us, totals.hot_t[at], out)
 
 
-def sample(c: np.ndarray, dish_w: np.ndarray, tables_u: np.ndarray, k0: np.ndarray, fixed: np.ndarray, s_fixed: np.ndarray,
-           totals: Totals, sweeps: int, moves: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Averaged tables per dish, and per word averaged customers and tables of the parent's restaurant.  Words with
-    ``fixed`` >= 0 have that many customers and ``s_fixed`` tables there all the time."""
+def gibbs(c: np.ndarray, dish_w: np.ndarray, tables_u: np.ndarray, k0: np.ndarray, fixed: np.ndarray, s_fixed: np.ndarray,
+          totals: Totals, sweeps: int, moves: int, rng: np.random.Generator,
+          start: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """``sweeps`` sweeps over a group's restaurants, from the state ``start`` or a random one.  In a sweep every customer
+    of every dish leaves and is seated again; a table that closes takes its customer out of the parent's restaurant, one
+    that opens sends a customer there; then the parent's customers move, ``moves`` times as many as there are.  Words
+    with ``fixed`` >= 0 have that many customers and ``s_fixed`` tables in the parent's restaurant all the time.
+
+    Returns the averages (tables per dish; per word customers and tables of the parent's restaurant), the last tables per
+    dish, and the last state."""
     many = np.flatnonzero(c > 1)
     rest = np.bincount(dish_w, minlength=k0.size) - np.bincount(dish_w[many], minlength=k0.size)
-    strength = (totals.strength + totals.d1 * tables_u)[many]
-    own = np.flatnonzero((fixed < 0) & (k0 > 0))
-    base = np.full(own.size, totals.base())
-    customers, tables = np.where(fixed >= 0, fixed, k0).astype(np.float64), np.where(fixed >= 0, s_fixed, 1.0 * (k0 > 0))
-    seats, sums, kept = None, [np.zeros(many.size), np.zeros(k0.size), np.zeros(k0.size)], 0
+    word, strength = dish_w[many], (totals.strength + totals.d1 * tables_u)[many]
+    cold, seen = fixed < 0, k0 > 0
+    customers, tables = np.where(cold, k0, fixed).astype(np.float64), np.where(cold, 1.0 * seen, s_fixed)
+    seats = Seating(c[many], strength * totals.parent(customers, tables)[word], totals.d1, STEPS, rng, start and tuple(start[:2]))
+    above = Parent(np.where(cold, rest + np.bincount(word, seats.t, k0.size), 0), totals.base(), totals.d0, rng, start and tuple(start[2:]))
+    sums, kept = [np.zeros(many.size), np.zeros(k0.size), np.zeros(k0.size)], 0
+
+    def tell(change, dishes: np.ndarray) -> None:
+        if dishes.size:
+            w, m = np.unique(word[dishes], return_counts=True)
+            mine = cold[w]
+            w, m = w[mine], m[mine]
+            change(w, m)
+            customers[w], tables[w] = above.k[w], above.s[w]
+
+    customers[cold], tables[cold] = above.k[cold], above.s[cold]
     for sweep in range(sweeps):
-        new = strength * totals.parent(customers, tables)[dish_w[many]]
-        if seats is None:
-            seats = Seating(c[many], new, totals.d1, moves * sweeps, rng)
-        for _ in range(moves):
-            seats.move(new)
-        customers = np.where(fixed >= 0, fixed, rest + np.bincount(dish_w[many], seats.t, k0.size))
-        above = Seating(customers[own], base, totals.d0, moves, rng)
+        for at, dish in seats.turns(word):
+            tell(above.leave, seats.leave(at, dish))
+            w = word[dish]
+            tell(above.join, seats.join(at, dish, strength[dish] * totals.parent(customers[w], tables[w])))
         for _ in range(moves):
-            above.move(base)
-        tables = tables.copy()
-        tables[own] = above.t
+            above.turn(PARTS)
+        tables[cold] = above.s[cold]
         if sweep or sweeps == 1:
             kept += 1
             for total, x in zip(sums, (seats.t, customers, tables)):
                 total += x
-    t = np.ones(c.size)
-    t[many] = sums[0] / kept
-    return t, sums[1] / kept, sums[2] / kept
+    t, now = np.ones(c.size), np.ones(c.size)
+    t[many], now[many] = sums[0] / kept, seats.t
+    return [t, sums[1] / kept, sums[2] / kept], now, [seats.t, seats.sizes(), *above.state()]
+
+
+def sample(c: np.ndarray, dish_w: np.ndarray, tables_u: np.ndarray, k0: np.ndarray, fixed: np.ndarray, s_fixed: np.ndarray,
+           totals: Totals, sweeps: int, moves: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Averaged tables per dish, and per word averaged customers and tables of the parent's restaurant (``gibbs``)."""
+    (t, customers, above), _, _ = gibbs(c, dish_w, tables_u, k0, fixed, s_fixed, totals, sweeps, moves, rng)
+    return t, customers, above
 
 
 PASSED = ("g int, kind string, h int, blob binary, hot array<struct<i: int, c: long, k: double, t: double>>, k double, s double, "
           "asks array<struct<h: int, blob: binary>>")
 
 
-def _sampler(groups: int, hot: np.ndarray, totals: Totals, sweeps: int, moves: int, seed: int):
+def _sampler(groups: int, hot: np.ndarray, totals: Totals, sweeps: int, moves: int, seed: int, last: bool):
+    """A round of one group: its state passes to the next round, after the last one its averages to the scores."""
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["g", "kind", "h", "blob", "hot", "k", "s", "asks"]
         if left.empty:
@@ -399,13 +608,20 @@ def _sampler(groups: int, hot: np.ndarray, totals: Totals, sweeps: int, moves: i
         is_hot = hot[spot] == words
         fixed, s_fixed = np.where(is_hot, totals.hot_k[spot], -1.0), np.where(is_hot, totals.hot_s[spot], 0.0)
         tables = _tables_of(us, right, hot, totals)
-        t, customers, above = sample(c.astype(np.int64), dish_w, tables[dish_u], k0, fixed, s_fixed, totals, sweeps, moves,
-                                     np.random.default_rng([seed, g]))
+        before = right[right["kind"] == "state"]
+        start = [x.astype(np.int64) for x in unpack(before["blob"].iloc[0])] if len(before) else None
+        (t, customers, above), now, state = gibbs(c.astype(np.int64), dish_w, tables[dish_u], k0, fixed, s_fixed, totals, sweeps,
+                                                  moves, np.random.default_rng([seed, g]), start)
+        if last:
+            blob = pack(t[c > 1].astype(np.float32), np.where(is_hot, 0, customers).astype(np.float32), np.where(is_hot, 0, above).astype(np.float32))
+            k, s = float(customers[~is_hot].sum()), float(above[~is_hot].sum())
+        else:
+            blob, t = pack(*[narrow(x) for x in state]), now
+            k, s = float(np.bincount(dish_w, now, words.size)[~is_hot].sum()), float(state[2].sum())
         own_k = np.bincount(dish_w, t, words.size)
         t_u = np.bincount(dish_u, t, us.size)
-        state = pack(t[c > 1].astype(np.float32), np.where(is_hot, 0, customers).astype(np.float32), np.where(is_hot, 0, above).astype(np.float32))
-        return pd.DataFrame([(g, "state", 0, state, _hot_sums(hot, words, np.zeros(words.size), own_k, us, t_u),
-                              float(customers[~is_hot].sum()), float(above[~is_hot].sum()), _asks(us, t_u, groups))], columns=columns)
+        return pd.DataFrame([(g, "state", 0, blob, _hot_sums(hot, words, np.zeros(words.size), own_k, us, t_u), k, s,
+                              _asks(us, t_u, groups))], columns=columns)
 
     return run
 
@@ -507,16 +723,21 @@ def score_texts(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col:
     d0, d1 = _discount(sums["m1"], sums["m2"]), _discount(sums["n1"], sums["n2"])
     vocabulary = int(sums["v"] + (hot_c[:-1] > 0).sum())
     rng = np.random.default_rng(seed)
+    spread: Parent | None = None
 
     def totals(k_cold: float, s_cold: float) -> Totals:
-        """Spread words take their seats in the parent's restaurant here, by their summed customers."""
-        live = np.flatnonzero(hot_k[:-1] > 0)
-        base = np.full(live.size, (strength + d0 * (s_cold + live.size)) / (vocabulary + 1))
-        seats = Seating(np.maximum(np.rint(hot_k[live]), 1).astype(np.int64), base, d0, 8 * moves, rng)
-        hot_s = np.zeros(hot.size)
-        for _ in range(8 * moves):
-            seats.move(base)
-        hot_s[live] = seats.t
+        """Spread words' customers in the parent's restaurant come, go and move here, by their sums over the groups."""
+        nonlocal spread
+        live = hot_k[:-1] > 0
+        customers = np.where(live, np.maximum(np.rint(hot_k[:-1]), 1), 0)
+        base = (strength + d0 * (s_cold + (live.sum() if spread is None else spread.s.sum()))) / (vocabulary + 1)
+        if spread is None:
+            spread = Parent(customers, base, d0, rng)
+        spread.base = base
+        spread.follow(customers)
+        for _ in range(moves):
+            spread.turn(PARTS)
+        hot_s = spread.s.astype(np.float64)
         return Totals(int(sums["n"]), vocabulary, k_cold + hot_k[:-1].sum(), s_cold + hot_s.sum(), d0, d1, strength,
                       hot_c[:-1], hot_k[:-1], hot_s, hot_t)
 
@@ -526,8 +747,11 @@ def score_texts(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col:
     answer = "g int, kind string, h int, blob binary"
     for r in range(rounds):
         replies = asks.select("g", "a.h", "a.blob").groupBy("h").applyInPandas(_answer(groups), answer)
-        passed = dishes.select("g", "dishes").groupBy("g").cogroup(replies.where("kind = 'tables'").groupBy("g")) \
-            .applyInPandas(_sampler(groups, hot, now, sweeps, moves, seed + r), PASSED)
+        told = replies.where("kind = 'tables'")
+        if state is not None:
+            told = told.unionByName(state.select("g", "kind", "h", "blob"))
+        passed = dishes.select("g", "dishes").groupBy("g").cogroup(told.groupBy("g")) \
+            .applyInPandas(_sampler(groups, hot, now, sweeps, moves, seed + r, r == rounds - 1), PASSED)
         state = cut_lineage(passed, replaces=state)
         cold = state.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
         _, hot_k, hot_t = hot_sums(state)

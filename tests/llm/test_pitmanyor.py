@@ -48,6 +48,71 @@ def test_gibbs_steps_keep_the_exact_distribution_of_tables():
     assert np.abs(np.bincount(seats.t, minlength=c + 1) / n - want).max() < 0.012
 
 
+def log_stirling(c, d):
+    """Logarithms of the generalised Stirling numbers S_d(c, t), t = 0..c."""
+    row = np.full(c + 1, -np.inf)
+    row[1] = 0.0
+    for n in range(1, c):
+        t = np.arange(c + 1)
+        stay = row + np.log(np.maximum(n - d * t, 1e-300))
+        row = np.logaddexp(np.where(t <= n, stay, -np.inf), np.append(-np.inf, row[:-1]))
+    return row
+
+
+def test_a_pass_takes_every_customer_once_in_bounded_steps():
+    rng = np.random.default_rng(2)
+    c, label = np.array([2, 900, 3, 40, 2]), np.array([0, 0, 1, 4, 4])
+    seats = pitmanyor.Seating(c, np.full(5, 1.5), 0.6, 64, rng)
+    steps = list(seats.turns(label))
+    assert len(steps) == 64 and np.sort(np.concatenate([at for at, _ in steps])).tolist() == list(range(c.sum()))
+    for at, dish in steps:
+        assert (np.searchsorted(seats.off, at, "right") - 1 == dish).all() and (np.bincount(label[dish], minlength=5)[1:] <= 1).all()
+        seats.leave(at, dish)
+        seats.join(at, dish, np.full(at.size, 1.5))
+    assert (np.add.reduceat(seats.size, seats.off) == c).all() and (np.bincount(seats.seat, minlength=c.sum()) == seats.size).all()
+    assert (np.add.reduceat(seats.size > 0, seats.off, dtype=int) == seats.t).all()
+
+
+def test_sweeps_over_large_dishes_keep_the_exact_distribution_of_tables():
+    c, new, d, n = 300, 2.0, 0.5, 150
+    want = log_stirling(c, d) + np.arange(c + 1) * math.log(new)
+    want = np.exp(want - want.max())
+    want /= want.sum()
+    seats = pitmanyor.Seating(np.full(n, c), np.full(n, new), d, 64, np.random.default_rng(3), (np.ones(n), np.full(n, c)))
+    got = np.zeros(c + 1)
+    for i in range(150):
+        for at, dish in seats.turns(np.arange(n)):
+            seats.leave(at, dish)
+            seats.join(at, dish, np.full(at.size, new))
+        if i >= 50:
+            got += np.bincount(seats.t, minlength=c + 1)
+    t = np.arange(c + 1)
+    mean = (got * t).sum() / got.sum()
+    assert abs(mean - (want * t).sum()) < 0.3 and np.abs(np.cumsum(got / got.sum()) - np.cumsum(want)).max() < 0.05
+
+
+def test_tables_and_the_parents_seats_keep_their_joint_distribution():
+    """Two contexts of a word: tables that open and close move the parent's customers, and a state goes on."""
+    n, c, strength, base, d0, d1 = 4000, (2, 4), (1.5, 2.5), 0.4, 0.6, 0.5
+    totals = pitmanyor.Totals(6 * n, n, 10.0, 0.0, d0, d1, 1.0, *[np.zeros(1)] * 4)
+    totals.base = lambda: base
+    want = {}
+    for a in range(1, c[0] + 1):
+        for b in range(1, c[1] + 1):
+            for s in range(1, a + b + 1):
+                want[a, b, s] = math.exp(log_stirling(c[0], d1)[a] + log_stirling(c[1], d1)[b] + log_stirling(a + b, d0)[s]
+                                         + a * math.log(strength[0] / 11) + b * math.log(strength[1] / 11) + s * math.log(base))
+    total, got, state = sum(want.values()), Counter(), None
+    for i in range(12):
+        _, now, state = pitmanyor.gibbs(np.tile(c, n), np.repeat(np.arange(n), 2), np.tile([(x - 1) / d1 for x in strength], n),
+                                        np.full(n, 2), np.full(n, -1.0), np.zeros(n), totals, 2, 1, np.random.default_rng(i), state)
+        assert (state[0] == now).all() and state[3].sum() == now.sum()
+        if i >= 4:
+            got.update(zip(now[::2].astype(int), now[1::2].astype(int), state[2].tolist()))
+    seen = sum(got.values())
+    assert set(got) <= set(want) and max(abs(got[x] / seen - want[x] / total) for x in want) < 0.015
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     words, contexts = 30, 8
