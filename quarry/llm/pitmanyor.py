@@ -51,6 +51,7 @@ from quarry.session import cut_lineage, drop_lineage, drop_path, scratch_path
 
 STRENGTH, ROUNDS, SWEEPS, MOVES, SEED = 1.0, 2, 3, 1, 11
 STEPS, PARTS, FEW = 64, 12, 8
+ONE = np.int32(1)
 BLOCK, CHUNK_TOKENS, SAMPLE, OWNED = 1 << 20, 1_500_000, 64, 8
 START, END = np.uint64(0x5354415254000000), np.uint64(0xE4D0000000000000)
 _POLY = Polynomial(5)
@@ -330,8 +331,8 @@ class Seating:
 
     def leave(self, at: np.ndarray, dish: np.ndarray) -> np.ndarray:
         """The customers stand up; returns the dishes of the tables that closed."""
-        left = self.seat[at]
-        np.subtract.at(self.size, left, 1)
+        left = self.seat[at].astype(np.intp)
+        np.subtract.at(self.size, left, ONE)                                 # equal types: numpy's fast loop
         self.seat[at] = -1
         shut = np.flatnonzero(self.size[left] == 0)
         if not shut.size:
@@ -378,7 +379,7 @@ class Seating:
             sat[put[by]] = self.free[np.repeat(self.off[which] + self.t[which] - begin, count) + np.arange(of.size)]
             self.t[which] += count
         self.seat[at] = sat
-        np.add.at(self.size, sat, 1)
+        np.add.at(self.size, sat.astype(np.intp), ONE)
         return of
 
     def move(self, new: np.ndarray) -> None:
