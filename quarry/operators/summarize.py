@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +86,24 @@ def window_prompts(docs: DataFrame, group: list[str], order: str, content_col: s
 SENTENCE_END, WORD, BLANKS = r"([.!?])[ \t\n\r\f]+", r"[\p{L}\p{N}]+", r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _sentence_scores(words: pd.Series) -> pd.Series:
+    """Summed TF-IDF of every sentence of each prompt, from the sentences' words (64-bit hashes)."""
+    out = []
+    for sents in words:
+        flat = np.concatenate([np.zeros(0, np.int64), *sents]).astype(np.int64)
+        known, at = np.unique(flat, return_inverse=True)
+        key, tf = np.unique(np.repeat(np.arange(len(sents)), [len(x) for x in sents]) * max(1, known.size) + at, return_counts=True)
+        pos, w = np.divmod(key, max(1, known.size))
+        out.append(np.bincount(pos, tf * np.log(len(sents) / np.bincount(w, minlength=known.size)[w]), len(sents)))
+    return pd.Series(out, dtype=object)
+
+
 class Extractive:
     """The default generator, a relation instead of a batch function: the ``max_sentences`` sentences of each prompt with
     the largest summed TF-IDF (IDF over the sentences of that prompt, sums rounded to 9 decimals, ties to the earlier
-    sentence), in their order.  The template's fixed text is dropped first.  Sentences and their words are rows that
-    move once, by prompt; a prompt is bounded by its token limit.  ``max_words`` is the caller's output budget."""
+    sentence), in their order.  The template's fixed text is dropped first.  A prompt is bounded by its token limit and
+    scored where it lies: nothing is shuffled.  ``max_words`` is the caller's output budget."""
 
     def __init__(self, template: str | None = None, max_sentences: int = 3, max_words: int | None = None):
         self.fixed = [p for p in re.split(r"\{\w+\}", template or "") if p.strip()]
@@ -103,22 +117,16 @@ class Extractive:
         return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, BLANKS, "")), lambda x: x != "")
 
     def column(self, df: DataFrame, prompt_col: str, out_col: str) -> DataFrame:
-        rows = cut_lineage(df.withColumn("__sid", F.monotonically_increasing_id()))
-        said = rows.select("__sid", self.sentences(F.col(prompt_col)).alias("__sents"))
-        sent = said.repartition("__sid").select("__sid", F.size("__sents").alias("n"), F.posexplode("__sents").alias("pos", "s"))
-        words = sent.select("__sid", "n", "pos", F.explode_outer(F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0))).alias("w")) \
-            .groupBy("__sid", "n", "pos", "w").agg(F.count("w").alias("tf"))
-        seen = F.count("w").over(Window.partitionBy("__sid", "w"))
-        score = words.withColumn("df", seen).groupBy("__sid", "pos").agg(
-            F.round(F.coalesce(F.sum(F.when(F.col("df") > 0, F.col("tf") * F.log(F.col("n") / F.col("df")))), F.lit(0.0)), 9).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("__sid").orderBy(F.desc("score"), "pos"))
-        best = score.withColumn("r", rank).where(F.col("r") <= self.max_sentences).groupBy("__sid") \
-            .agg(F.array_sort(F.collect_list("pos")).alias("__at"))
-        out = rows.join(best, "__sid", "left").withColumn("__sents", self.sentences(F.col(prompt_col)))
+        said = df.withColumn("__sents", self.sentences(F.col(prompt_col)))
+        words = F.transform("__sents", lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+        scored = said.withColumn("__score", _sentence_scores(words))
+        ranked = F.array_sort(F.transform("__score", lambda s, i: F.struct((-F.round(s, 9)).alias("s"), i.alias("pos"))))
+        best = F.array_sort(F.transform(F.slice(ranked, 1, self.max_sentences), lambda r: r["pos"]))
+        out = scored.withColumn("__at", best)
         text = F.array_join(F.transform("__at", lambda i: F.get("__sents", i)), " ")
         if self.max_words is not None:
             text = F.array_join(F.slice(F.split(text, " ", -1), 1, self.max_words), " ")
-        return out.withColumn(out_col, F.coalesce(text, F.lit(""))).drop("__sid", "__at", "__sents")
+        return out.withColumn(out_col, F.coalesce(text, F.lit(""))).drop("__score", "__at", "__sents")
 
 
 def extractive_generator(template: str | None = None, max_sentences: int = 3, max_words: int | None = None) -> Extractive:

@@ -187,3 +187,13 @@ def test_every_group_is_summarised_even_without_progress(spark):
     assert {r["g"] for r in rs} == {"a", "b", None} and len(rs) == 3
     mr = map_reduce_summary(d, ["g"], "o", "c", generate_map=same, generate_reduce=same, token_max=100).collect()
     assert {r["g"] for r in mr} == {"a", "b", None} and len(mr) == 3
+
+
+def test_default_generator_scores_prompts_where_they_lie(spark):
+    from quarry.operators.summarize import extractive_generator, generate_column
+    rows = [(1, "A a. B b! a b? C"), (2, None), (3, "... !!!"), (4, "one one two. two. three")]
+    out = generate_column(spark.createDataFrame(rows, "k int, p string"), "p", extractive_generator("{t}", max_sentences=2), "s")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["k", "p", "s"]
+    # scores: "A a." 2 ln 2, "B b!" 2 ln 2, "a b?" 2 ln 2, "C" ln 4; "one one two." 2 ln 3 + ln 1.5, "two." ln 1.5, "three" ln 3
+    assert {r["k"]: r["s"] for r in out.collect()} == {1: "A a. B b!", 2: "", 3: "... !!!", 4: "one one two. three"}
