@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from quarry.operators import spatial
 from quarry.operators.relational import skew_join
 from quarry.operators.sequence import numbered, running
+from quarry.operators.tiles import dealt
 from quarry.session import cut_lineage, drop_lineage
 
 FLOOR = 1e-12
@@ -176,10 +177,10 @@ def _settle(boxes: spatial.Boxes):
     return fn
 
 
-def _chosen(state: DataFrame, boxes: spatial.Boxes) -> DataFrame:
+def _chosen(state: DataFrame, boxes: spatial.Boxes, groups: int) -> DataFrame:
     """``(k, comp, e, to)``: the smallest outgoing edge of every component, and the component it leads to."""
     ddl = "comp long, m double, d double, lo long, hi long, to long"
-    local = cut_lineage(state.groupBy("k", "tile").applyInPandas(_inside, f"k int, tile long, about boolean, {ddl}"))
+    local = cut_lineage(dealt(state, ["k", "tile"], groups).groupBy("k", "tile").applyInPandas(_inside, f"k int, tile long, about boolean, {ddl}"))
     edges = local.where("NOT about").select("k", "comp", F.struct(F.struct("m", "d", "lo", "hi").alias("e"), "to").alias("b"))
     about = _Tiles(boxes, local.where("about").select("k", "tile", "comp", "m", "d").collect())
     known = edges.groupBy("k", "comp").agg(F.min("b.e.m").alias("r"))
@@ -187,7 +188,7 @@ def _chosen(state: DataFrame, boxes: spatial.Boxes) -> DataFrame:
     bounds = alone.mapInPandas(about.bound, "k int, comp long, r double").groupBy("k", "comp").agg(F.min("r").alias("r"))
     asked = skew_join(state, known.unionByName(bounds), ["k", "comp"]) \
         .mapInPandas(about.send, "k int, tile long, id long, x double, y double, core double, comp long")
-    far = asked.groupBy("k", "tile").cogroup(state.groupBy("k", "tile")).applyInPandas(_between, f"k int, {ddl}")
+    far = dealt(asked, ["k", "tile"], groups).groupBy("k", "tile").cogroup(dealt(state, ["k", "tile"], groups).groupBy("k", "tile")).applyInPandas(_between, f"k int, {ddl}")
     both = edges.unionByName(far.select("k", "comp", F.struct(F.struct("m", "d", "lo", "hi").alias("e"), "to").alias("b")))
     out = cut_lineage(both.groupBy("k", "comp").agg(F.min("b").alias("b")).select("k", "comp", "b.e", "b.to"))
     drop_lineage(local)
@@ -234,14 +235,15 @@ def spanning_trees(points: DataFrame, values: list[int], *, key: str, x: str, y:
     copies = cut_lineage(at.join(state.select("k", F.col("id").alias("lo"), "core"), "lo").select(
         "k", F.struct(F.col("core").alias("m"), F.lit(0.0).alias("d"), "lo", "hi").alias("e"), F.lit(0).alias("level"), F.col("lo").alias("v")))
     drop_lineage(radius)
-    settled = cut_lineage(state.groupBy("k", "tile").applyInPandas(_settle(boxes), _LOCAL))
+    groups = boxes.tile.size * len(values)
+    settled = cut_lineage(dealt(state, ["k", "tile"], groups).groupBy("k", "tile").applyInPandas(_settle(boxes), _LOCAL))
     drop_lineage(state)
     edge = F.struct("m", "d", "lo", "hi").alias("e")
     rounds = [settled.where("kind = 'round'").select("k", "level", "comp", edge, "next")]
     level = rounds[0].agg(F.max("level")).first()[0] or 0
     state = settled.where("kind = 'point'").select("k", "tile", "id", "x", "y", "core", "comp")
     while state.select("k", "comp").distinct().count() > state.select("k").distinct().count():
-        chosen = _chosen(state, boxes)
+        chosen = _chosen(state, boxes, groups)
         if not chosen.limit(1).count():
             break
         level += 1

@@ -179,3 +179,22 @@ def test_box_search_is_complete(spark):
     for i in range(50):
         near = rows[np.hypot(rows.x - x[i], rows.y - y[i]) <= r[i]]
         assert {(i, int(tile)) for tile in near.tile} <= found
+
+
+def test_few_tiles_are_many_tasks(spark, monkeypatch, tmp_path):
+    """Tiles are a few kilobytes and much work: adaptive merging may not put them into one task."""
+    from quarry.operators import hdbscan as H
+    from pyspark import TaskContext
+    where, settle = str(tmp_path), H._settle
+
+    def marked(boxes):
+        run = settle(boxes)
+
+        def fn(pdf):
+            open(f"{where}/{TaskContext.get().partitionId()}", "a").close()
+            return run(pdf)
+        return fn
+    monkeypatch.setattr(H, "_settle", marked)
+    pts = spark.range(400).selectExpr("id", "rand(5) AS x", "rand(6) AS y")
+    assert H.spanning_tree(pts, id_col="id", x="x", y="y", min_samples=3, tile_size=20).count() == 399
+    assert len(list(tmp_path.iterdir())) > 3
