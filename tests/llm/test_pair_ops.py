@@ -187,3 +187,38 @@ def test_near_duplicate_calibration_reaches_its_recall():
 
 def test_near_duplicates_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def test_sets_and_keys_of_many_texts_are_those_of_each():
+    base, one = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    texts = ["", None, " a  b", "One two\tthree four five six one two three four five", "x" * 5000 + " y z u v w", "é ü " * 7, "b c d e f " * 9000]
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    got, start = shingles._word_hashes(b" \n".join((t or "").encode().lower() for t in texts))
+    assert start.size == len(words)
+    for w, h in zip(words, got.tolist()):
+        plain = sum((c + 1) * pow(base, (i & 4095) + 1, 1 << 64) for i, c in enumerate(w)) & one
+        assert h == int(shingles.mix(np.array([(plain + len(w)) & one], np.uint64))[0])
+    each = [next(shingles.sets([t])) for t in texts]
+    many = list(jaccard.keyed_sets(texts))
+    assert [s.tolist() for s, _ in many] == [s.tolist() for s in each]
+    assert [k for _, k in many] == [jaccard.set_key(s) for s in each]
+
+
+def test_prefix_looks_up_what_may_be_frequent():
+    rng = np.random.default_rng(3)
+    s = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) << np.uint64(1))
+    frequent = np.sort(np.concatenate([s[rng.permutation(s.size)[:350]], rng.integers(0, 1 << 63, 5000).astype(np.uint64)]))
+    counts = rng.integers(2, 9, frequent.size).astype(np.int32)
+    known = dict(zip(frequent.tolist(), counts.tolist()))
+    t, c = jaccard._prefix(s, frequent, counts, jaccard._known(frequent))
+    order = sorted(s.tolist(), key=lambda x: (known.get(x, 0), x))[:jaccard.prefix_length(s.size)]
+    assert t.tolist() == order and c.tolist() == [known.get(x, 0) for x in order]
+
+
+def test_narrow_rows_are_not_counted_in_bytes(spark, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(jaccard, "_shared", lambda post, f=jaccard._shared: seen.append(spark.conf.get(name)) or f(post))
+    df = spark.createDataFrame([(i, f"a b c d e f g h {i // 3}") for i in range(12)], "doc_id long, text string")
+    assert len({r["component_id"] for r in jaccard.jaccard_components(df).collect()}) == 4
+    assert seen == [str(2 ** 31 - 1)] and spark.conf.get(name) == before
